@@ -62,9 +62,13 @@ def summarize(text: Column, hint: Column) -> Column:
     """
     clean = strip(F.replace(text, F.lit("\n"), F.lit(" ")))
     out = left(clean, 300)
-    for mark in reversed("。.！!？?"):
+
+    def first_three(mark: str) -> Column:
         parts = F.transform(F.slice(F.split(clean, f"[{mark}]"), 1, 3), strip)
-        said = F.array_join(F.transform(F.filter(parts, lambda p: p != ""), lambda p, m=mark: F.concat(p, F.lit(m))), "")
+        return F.array_join(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.concat(p, F.lit(mark))), "")
+
+    for mark in reversed("。.！!？?"):
+        said = first_three(mark)
         out = F.when(F.contains(clean, F.lit(mark)), F.when(said != "", said).otherwise(left(clean, 300))).otherwise(out)
     return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(F.concat(F.lit("["), hint, F.lit("] "), out))
 
@@ -81,7 +85,7 @@ def parse_triples(c: Column, fields: tuple[str, str, str] = TRIPLE_FIELDS) -> Co
         rest = F.get(F.split(piece, "<subj>"), F.lit(1))
         at = dict(zip(fields, (F.get(F.split(piece, "<subj>"), F.lit(0)), F.get(F.split(rest, "<obj>"), F.lit(0)), F.get(F.split(rest, "<obj>"), F.lit(1))), strict=True))
         kind = F.replace(F.upper(strip(at["relation"])), F.lit(" "), F.lit("_"))
-        return F.struct(normalize_entity(at["head"]).alias("source"), normalize_entity(at["tail"]).alias("target"), kind.alias("type"), F.contains(rest, F.lit("<obj>")).alias("whole"))
+        return F.struct(normalize_entity(strip(at["head"])).alias("source"), normalize_entity(strip(at["tail"])).alias("target"), kind.alias("type"), F.contains(rest, F.lit("<obj>")).alias("whole"))
 
     made = F.filter(F.transform(F.split(text, "<triplet>"), one), lambda t: F.coalesce(t["whole"], F.lit(False)) & (t["source"] != "") & (t["target"] != "") & (t["source"] != t["target"]))
     return F.transform(made, lambda t: F.struct(t["source"].alias("source"), t["target"].alias("target"), t["type"].alias("type")))

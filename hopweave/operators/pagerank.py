@@ -106,10 +106,12 @@ class SmallRanks(Ranks):
             if x is None:
                 return pd.DataFrame({"qid": [], "id": [], "ppr": []}, dtype=object)
             x, asked = scaled(x), asked.drop_duplicates("id")
-            return pd.DataFrame({"qid": asked["qid"].to_list(), "id": asked["id"].to_list(), "ppr": [float(x[at[i]]) if i in at else 0.0 for i in asked["id"]]})
+            return pd.DataFrame({"qid": asked["asked"].to_list(), "id": asked["id"].to_list(), "ppr": [float(x[at[i]]) if i in at else 0.0 for i in asked["id"]]})
 
         kind = self.seeds.schema["qid"].dataType.simpleString()
-        return self.seeds.groupBy("qid").cogroup(wanted.select("qid", "id").groupBy("qid")).applyInPandas(run, f"qid {kind}, id string, ppr double")
+        # new columns: what is wanted may come from the seeds themselves
+        wanted = wanted.select(F.col("qid").alias("asked"), F.col("id").alias("id"))
+        return self.seeds.groupBy("qid").cogroup(wanted.groupBy("asked")).applyInPandas(run, f"qid {kind}, id string, ppr double")
 
 
 class LargeRanks(Ranks):
