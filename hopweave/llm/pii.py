@@ -5,8 +5,8 @@ disguises (homoglyphs and full-width forms, zero-width characters, spelled digit
 words) piece by piece and remembers where each piece of its output came from. The same detectors run over the
 rewritten text, and what they find through a rewritten piece is mapped back to source characters.
 
-Positions are code points, ends exclusive. Base spans always stay; a found span that overlaps a base span of its
-kind is left out. Defined results: a null text counts as empty; empty texts have no spans; rows repeat as in the
+Positions are code points, ends exclusive. Base spans always stay; a found span that overlaps base spans of its
+kind is added only where it holds them whole, as when a disguised letter cuts the base span short. Defined results: a null text counts as empty; empty texts have no spans; rows repeat as in the
 input; texts are scanned whole in time linear in their length, except for rewritten places, which are local.
 """
 
@@ -258,8 +258,11 @@ def hidden_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]
         taken = sorted(base[kind])
         kept: list[Span] = []
         for a, b in sorted(spans):
-            i = bisect_right(taken, (b - 1, 1 << 60))
-            if (i == 0 or taken[i - 1][1] <= a) and (not kept or kept[-1][1] <= a):
+            first, last = bisect_right(taken, (a, -1)), bisect_right(taken, (b - 1, 1 << 60))
+            first -= first > 0 and taken[first - 1][1] > a
+            near = taken[first:last]
+            wider = all(a <= x and y <= b for x, y in near) and near != [(a, b)]
+            if wider and (not kept or kept[-1][1] <= a):
                 kept.append((a, b))
         out[kind] = kept
     return out

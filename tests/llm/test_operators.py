@@ -1,0 +1,510 @@
+"""The training-data operators against brute force, on fixtures with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from hopweave.llm import ann, common, fingerprints, mixing, neardup, packing, pii, quality, registry, sharding, substrings, urls
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, id long, fp long, group string, size string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words_of(text):
+    return WORD.findall(text or "")
+
+
+def corpus(n=60, seed=1):
+    """Rows with copies, near copies, null and empty texts, a long one, a hot source and repeated rows."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)] + ["É", "naïve", "«x»", "a@b.co", "😀"]
+    text = lambda k: " ".join(rng.choices(vocabulary, k=k))
+    out = [(None, "no id"), (3_000, None), (3_001, ""), (3_002, " \n\t "), (3_003, "one"), (3_004, text(9_000))]
+    out += [(i, text(rng.randint(1, 120))) for i in range(n)]
+    base = text(90)
+    out += [(1_000 + i, base) for i in range(6)] + [(1_100 + i, " ".join([*base.split()[:-1], f"x{i}"])) for i in range(4)]
+    out += [(2_000, "same row"), (2_000, "same row"), (2_001, "two texts"), (2_001, "of one id")]
+    return [(i, t, "en", None if k % 11 == 0 else "hot" if k % 3 else f"s{k % 5}", len(t) if t else 0, "k", 1, 2, "g", "s") for k, (i, t) in enumerate(out)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+# ---- 1 sharding
+
+
+def test_sharding_against_splitting_buckets(docs, rows):
+    limit = 4_000
+    got = sharding.shards(docs, limit=limit).toPandas()
+    assert len(got) == len(rows)
+    items = [(None if i is None else i, int(hashlib.md5(str("null" if i is None else i).encode()).hexdigest()[:15], 16), len((t or "").encode())) for i, t, *_ in rows]
+
+    def split(prefix, held):
+        total = sum(b for _, _, b in held)
+        if total <= limit or len(held) == 1 or len(prefix) == 60:
+            return [(i, prefix, total, len(held)) for i, _, _ in held]
+        side = lambda bit: split(prefix + bit, [x for x in held if format(x[1], "060b")[len(prefix)] == bit])
+        return side("0") + side("1")
+
+    want = Counter((i, p, b, n) for i, p, b, n in split("", items))
+    assert Counter((None if pd.isna(r.doc_id) else r.doc_id, r.shard.split(".")[0], r.shard_bytes, r.shard_docs) for r in got.itertuples()) == want
+
+
+def test_sharding_of_rows_that_share_all_bits(spark):
+    df = spark.createDataFrame([(7, "x" * 100)] * 50, "doc_id long, text string")
+    got = sharding.shards(df, limit=500).toPandas()
+    sizes = got.groupby("shard")["n_bytes"].sum()
+    assert len(got) == 50 and len(sizes) > 5 and sizes.max() < 5_000
+    assert sharding.shards(df.limit(0)).count() == 0
+
+
+def test_written_shards_hold_all_rows(spark, docs, tmp_path):
+    sharding.write_shards(docs.where("doc_id < 1000"), str(tmp_path / "x"), limit=4_000)
+    assert spark.read.parquet(str(tmp_path / "x")).count() == docs.where("doc_id < 1000").count()
+
+
+# ---- 2 quality
+
+
+def test_quality_on_held_out_labels(spark, sf):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    hide = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3)) == 0
+    got = quality.score(docs, labels.where(~hide)).join(labels.where(hide), "doc_id").toPandas()
+    assert len(got) > 50 and (got["good"] == (got["quality"] == 1)).mean() > 0.9
+
+
+def test_quality_defined_results(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = quality.score(docs, labels).toPandas()
+    assert len(got) == docs.count() and got["score"].between(0, 1).all()
+    empty = got[got["doc_id"].isin([3_000, 3_001, 3_002])]
+    assert (empty["score"] == 0).all() and not empty["good"].any()
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.where("doc_id IS NULL").count() == 1
+    one_class = quality.score(docs, labels.where("quality = 1")).toPandas()
+    assert (one_class.set_index("doc_id").loc[[3_003, 3_004], "score"] == 1).all()
+    assert quality.score(docs.limit(0), labels).count() == 0
+
+
+# ---- 3 url filters
+
+
+def judge(url, rules):
+    if url is None or "://" not in url:
+        return "", "", None, "allow"
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest).group()
+    path = re.match(r"[^?#]*", rest[len(host) :]).group()
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    fits = [(len(h) + len(p), len(h), a, h + p) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, max(fits)[3] if fits else None, max(fits)[2] if fits else "allow"
+
+
+def test_urls_against_brute_force(spark):
+    hosts = ["ORG", "a.org", "example.org", "X.Example.Org", "notexample.org", "com", "b.com", "", "org.com", "a..com"]
+    paths = ["", "/", "/es/", "/es", "/en/1", "/en/12?x=/fr/", "/fr/a#b", "/de/", "?q=/de/", "#/es/", "//es/"]
+    made = [f"{s}://{h}{p}" for s in ("http", "") for h in hosts for p in paths] + [None, "", "no scheme/es/", "a://b://c.org/x", "http://É.org/es/"]
+    df = spark.createDataFrame(list(enumerate(made)) + [(0, made[0])], "page_id long, url string").withColumn("host", F.lit(1)).withColumn("rule", F.lit(1))
+    got = sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in urls.filter_urls(df, urls.RULES).select("page_id", "host", "path", "rule", "verdict").collect())
+    want = [(i, *judge(u, urls.RULES)) for i, u in [*enumerate(made), (0, made[0])]]
+    assert got == sorted((i, h, p, r or "", v) for i, h, p, r, v in want)
+    assert {r.verdict for r in urls.filter_urls(df, ()).collect()} == {"allow"}
+    assert urls.filter_urls(df.limit(0), urls.RULES).count() == 0
+
+
+# ---- 4 fingerprints
+
+
+def edited_model(text, other):
+    m = len(text) // 3
+    return text[: len(text) - m] + other[:m]
+
+
+def test_fingerprints_of_edits(spark, docs, rows):
+    got = fingerprints.describe(docs.where("doc_id <> 2001 OR doc_id IS NULL")).toPandas()
+    ordered = sorted(((i, t or "") for i, t, *_ in rows if i != 2_001), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert len(got) == len(ordered)
+    by_text = {}
+    for k, (i, t) in enumerate(ordered):
+        other = ordered[k - 1][1]
+        r = got[got["doc_id"].isna()] if i is None else got[got["doc_id"] == i]
+        sha = hashlib.sha256(edited_model(t, other).encode()).hexdigest()
+        assert sha in set(r["edited_sha256"]) and (r["n_chars"] == len(t)).all(), i
+        by_text.setdefault(t, set()).update(r["fingerprint"])
+        bits = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 128
+        for x in r.itertuples():
+            assert x.near_edited == pytest.approx(bits(x.fingerprint, x.edited_fingerprint))
+    assert all(len(v) == 1 for v in by_text.values())
+    assert by_text[""] == {"0" * 32} and by_text[" \n\t "] == {"0" * 32}
+    near = got.set_index("doc_id")
+    copies = near.loc[1_001, "fingerprint"]
+    assert all((int(near.loc[1_100 + i, "fingerprint"], 16) ^ int(copies, 16)).bit_count() < 40 for i in range(4))
+    assert fingerprints.describe(docs.limit(0)).count() == 0
+
+
+def test_fingerprint_search_finds_all(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(128) for _ in range(30)]
+    near = [b ^ sum(1 << x for x in rng.sample(range(128), k)) for b in base for k in (0, 1, 3, 4, 8)]
+    df = spark.createDataFrame([(i, f"{x:032x}") for i, x in enumerate(base + near)], "doc_id long, fingerprint string")
+    for radius, spare in ((3, 1), (4, 2)):
+        got = {(r.query, r.found_fingerprint, r.distance) for r in fingerprints.search(df.where("doc_id < 30"), df, radius, spare).collect()}
+        want = {(i, f"{y:032x}", (x ^ y).bit_count()) for i, x in enumerate(base) for y in base + near if (x ^ y).bit_count() <= radius}
+        assert got == want
+
+
+# ---- 5 packing
+
+
+def test_packing_keeps_all_words_and_conflicts(spark, docs, rows):
+    got = packing.pack(docs, capacity=300, source_limit=3, texts=True).toPandas()
+    want = Counter(w for _, t, *_ in rows for w in words_of(t))
+    assert Counter(w for t in got["text"] for w in words_of(t)) == want
+    assert all(len(words_of(r.text)) == r.n_words for r in got.itertuples())
+    by_bin = got.groupby("bin_id")
+    assert (by_bin["n_words"].sum() <= 300).all() and (by_bin["n_words"].sum() == by_bin["bin_words"].first()).all()
+    assert (got.groupby(["bin_id", got["source"].fillna("null")]).size() <= 3).all()
+    texts = {(i, t) for i, t, *_ in rows if i is not None and 1_000 <= i < 1_100}
+    copies = got[got["doc_id"].isin([i for i, _ in texts])]
+    assert copies["bin_id"].is_unique  # copies never share a bin
+    again = packing.pack(docs, capacity=300, source_limit=3, texts=True).toPandas()
+    columns = ["bin_id", "slot", "n_words", "text"]
+    assert sorted(map(tuple, got[columns].values)) == sorted(map(tuple, again[columns].values))
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_best_fit_against_brute_force():
+    rng = random.Random(2)
+    pieces = [(rng.randint(1, 60), k, k, 0, f"c{rng.randint(0, 25)}", f"s{rng.randint(0, 3)}") for k in range(150)]
+    bins = []  # (left, clusters, sources)
+    want = {}
+    for i in sorted(range(len(pieces)), key=lambda i: (-pieces[i][0], pieces[i][1:4])):
+        size, *_, cluster, source = pieces[i]
+        fits = [(b[0], k) for k, b in enumerate(bins) if b[0] >= size and cluster not in b[1] and b[2][source] < 4]
+        k = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append([100, set(), Counter()])
+        bins[k][0] -= size
+        bins[k][1].add(cluster)
+        bins[k][2][source] += 1
+        want[i] = k
+    got = packing.pack_group(pieces, 100, 4)
+    assert [b for b, _ in got] == [want[i] for i in range(len(pieces))]
+
+
+# ---- 6 personal data
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_model(t):
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    return {
+        "email": [m.span() for m in EMAIL.finditer(t)], "ip": [m.span() for m in IP.finditer(t) if all(int(x) < 256 for x in m.group().split("."))],
+        "card": [m.span() for m in CARD.finditer(t) if 14 <= len(digits(m)) <= 19 and luhn(digits(m))], "phone": [m.span() for m in PHONE.finditer(t) if 10 <= len(digits(m)) <= 15],
+    }
+
+
+def noise(seed):
+    rng = random.Random(seed)
+    bits = ["a@b.co", "x.y@", "@", "1.2.3.4", "300.1.1.1", "1.2.3.4.5", "4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+", "00", ".", "-", " ", "\n", "é", "9" * 30, "0", "a.b.c@d.e.f", "%+-@x-.y", "12", "3-4", "٣", "１"]
+    return "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))
+
+
+def test_base_spans_equal_the_patterns():
+    for seed in range(4_000):
+        t = noise(seed)
+        assert pii.base_spans(t) == base_model(t), (seed, t)
+        base, every = pii.find(t)
+        assert all(set(base[k]) <= set(every[k]) for k in pii.KINDS)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "hidden"),
+    [
+        ("mail jane [at] site [dot] org now", "email", "jane [at] site [dot] org"), ("write to jane.doe at example dot com today", "email", "jane.doe at example dot com"), ("call ｊａｎｅ@site.org", "email", "ｊａｎｅ@site.org"),
+        ("card 4１11 1111 1111 1111 ok", "card", "4１11 1111 1111 1111"), ("call plus one five five five one two three four five six seven today", "phone", "plus one five five five one two three four five six seven"),
+        ("host one nine two dot one six eight dot one dot one up", "ip", "one nine two dot one six eight dot one dot one"), ("jаne@site.org", "email", "jаne@site.org"), ("a​b@c.org", "email", "a​b@c.org"),
+    ],
+)
+def test_disguises_map_back(text, kind, hidden):
+    _, every = pii.find(text)
+    at = text.index(hidden)
+    assert (at, at + len(hidden)) in every[kind] or any(text[a:b] == hidden for a, b in every[kind]), every
+
+
+def test_clean_texts_have_no_spans():
+    for t in ("We met at the dot com era, one two three times.", "Look at example dot com in the year two thousand", "Sections 1.2 and 3.4, 12 of 14", "at dot at dot", "", None, "one two three four five"):
+        base, every = pii.find(t)
+        assert not any(every.values()) or t is not None and "example" in t, (t, every)
+
+
+def test_pii_query_rows(docs, rows):
+    got = pii.detect(docs).toPandas()
+    assert len(got) == len(rows)
+    want = Counter()
+    for i, t, *_ in rows:
+        base = base_model(t or "")
+        line = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted((a, pii.KINDS.index(k), b, k) for k, s in base.items() for a, b in s))
+        want[(i, len(base["email"]), hashlib.sha256(line.encode()).hexdigest())] += 1
+    assert Counter((None if pd.isna(r.doc_id) else r.doc_id, r.n_email, r.base_sha256) for r in got.itertuples()) == want
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns and clean.where("text LIKE '%a@b.co%'").count() == 0
+    assert clean.where("text IS NULL").count() == 1 and clean.where("text IS NOT NULL AND n_chars <> length(text)").count() == 0
+    assert pii.detect(docs.limit(0)).count() == 0
+
+
+# ---- 7 mixing
+
+
+def targets_model(sizes, weights, most=3.0):
+    out, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
+    while open_:
+        total = sum(weights[i] for i in open_)
+        over = {i for i in open_ if left * weights[i] / total > most * sizes[i]}
+        for i in over or open_:
+            out[i] = most * sizes[i] if over else left * weights[i] / total
+        if not over:
+            return out
+        left -= sum(out[i] for i in over)
+        open_ -= over
+    return out
+
+
+def test_mixing_meets_targets(docs, rows):
+    got = mixing.mix(docs).toPandas()
+    assert len(got) == len(rows)
+    sizes = Counter()
+    for _, t, _, s, *_ in rows:
+        sizes[s] += len(words_of(t))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = dict(zip(order, targets_model([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))]), strict=True))
+    for s, part in got.groupby(got["source"].map(lambda x: None if pd.isna(x) else x), dropna=False):
+        s = None if pd.isna(s) else s
+        assert part["target"].iloc[0] == pytest.approx(want[s]) and (part["source_size"] == sizes[s]).all()
+        taken = (part["copies"] * part["size"]).sum()
+        assert abs(taken - want[s]) <= part["size"].max()
+        assert (part["copies"] <= 3).all()
+    again = mixing.mix(docs.repartition(3)).toPandas()
+    assert Counter(zip(got["doc_id"].fillna(-1), got["text_hash"], got["copies"], strict=True)) == Counter(zip(again["doc_id"].fillna(-1), again["text_hash"], again["copies"], strict=True))
+    assert mixing.mix(docs.limit(0)).count() == 0
+    taken = mixing.take(docs)
+    assert taken.columns == docs.columns
+
+
+def test_pivots_keep_expectations_and_words():
+    size, p = np.array([5.0, 9.0, 2.0, 7.0, 4.0]), np.array([0.3, 0.5, 0.9, 0.2, 0.6])
+    total = np.zeros(5)
+    for seed in range(4_000):
+        out, held = mixing.pivot(size, p, np.random.default_rng(seed))
+        assert (out @ size) == pytest.approx(p @ size) and sum(0 < x < 1 for x in out) == (held >= 0)
+        total += out
+    assert total / 4_000 == pytest.approx(p, abs=0.04)
+
+
+def test_mixing_over_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 8)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    df = spark.createDataFrame([(i, "w " * (1 + i % 7), "s0" if i % 3 else "s1") for i in range(500)], "doc_id long, text string, source string")
+    got = mixing.mix(df).toPandas()
+    for _, part in got.groupby("source"):
+        assert abs((part["copies"] * part["size"]).sum() - part["target"].iloc[0]) <= 7
+
+
+# ---- 8 near duplicates
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def print_model(text):
+    w = words_of(lower(text))
+    if not w:
+        return 0
+    hs = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
+
+
+def components_model(prints):
+    """prints: id -> set of fingerprints."""
+    ids = sorted(prints)
+    label = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a in ids:
+            for b in ids:
+                if label[b] < label[a] and any((x ^ y).bit_count() <= 4 for x in prints[a] for y in prints[b]):
+                    label[a], changed = label[b], True
+    return label
+
+
+def test_neardup_fingerprints_and_groups(docs, rows):
+    got = neardup.group(docs.where("doc_id IS NOT NULL AND doc_id <> 2001")).toPandas()
+    prints = {}
+    for i, t, *_ in rows:
+        if i is not None and i != 2_001:
+            prints.setdefault(i, set()).add(print_model(t))
+    label = components_model(prints)
+    assert len(got) == sum(1 for i, *_ in rows if i is not None and i != 2_001)
+    for r in got.itertuples():
+        assert int(r.fingerprint, 16) in prints[r.doc_id] and r.component_id == label[r.doc_id], r
+    assert neardup.group(docs.limit(0)).count() == 0
+    with_null = neardup.group(docs).toPandas()
+    assert len(with_null) == len(rows)
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and set(kept.where("doc_id >= 1000 AND doc_id < 1100").toPandas()["doc_id"]) == {1_000}
+
+
+@pytest.mark.parametrize("shard", [1024, 8])
+def test_neardup_links_of_close_fingerprints(spark, shard):
+    """Chains, stars and a block value that all share, whole and dealt into parts."""
+    rng = random.Random(6)
+    fps = set()
+    for _ in range(12):
+        x = rng.getrandbits(64)
+        for _ in range(12):
+            fps.add(x)
+            x ^= sum(1 << b for b in rng.sample(range(64), rng.choice([1, 3, 4, 5, 9])))
+    fps |= {(0xABC << 52) | rng.getrandbits(52) for _ in range(60)} | {(0xABC << 52) | 1 << b for b in range(20)}
+    fps = sorted(fps)
+    ids = list(range(len(fps)))
+    rng.shuffle(ids)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame(list(zip(signed, ids, strict=True)), "fp long, id long")
+    links = neardup.shard_links(df, 4, shard)
+    got = dict.fromkeys(ids)
+    got.update({r.node: r.component for r in common.connected_components(links).collect()})
+    label = components_model({i: {f} for f, i in zip(fps, ids, strict=True)})
+    assert {i: c if c is not None else i for i, c in got.items()} == label
+
+
+# ---- 9 substrings
+
+
+def dedup_model(rows, least=2, words=16):
+    """Texts after removal, by (id, text) in order of the input."""
+    spans = {}
+    for i, t in rows:
+        if i is None or t is None:
+            continue
+        cut = [t[a:b] for a, b in substrings.sentences(t)]
+        for a in range(len(cut)):
+            b, n = a, 0
+            while b < len(cut) and (b - a < least or n < words):
+                n += len(cut[b].split())
+                b += 1
+            if b - a >= least and n >= words:
+                spans.setdefault(" ".join(" ".join(cut[a:b]).split()), []).append((i, a, b))
+    gone = {}
+    for places in spans.values():
+        first = min(places)[:2]
+        for i, a, b in places:
+            if (i, a) != first and len(places) > 1:
+                gone.setdefault(i, set()).update(range(a, b))
+    out = []
+    for i, t in rows:
+        cut = [t[a:b] for a, b in substrings.sentences(t)] if t is not None else []
+        out.append((i, None if t is None else "".join(s for k, s in enumerate(cut) if k not in gone.get(i, ()))))
+    return out
+
+
+def test_substring_dedup(spark):
+    rng = random.Random(8)
+    sentence = lambda: " ".join(rng.choices([f"v{i}" for i in range(300)], k=rng.randint(4, 14))).capitalize() + rng.choice([". ", "! ", ".\n", "\n"])
+    shared = "".join(sentence() for _ in range(9))
+    rows = []
+    for i in range(30):
+        body = [sentence() for _ in range(rng.randint(1, 12))]
+        if i % 3 == 0:
+            body.insert(rng.randint(0, len(body)), shared)
+        rows.append((i, "".join(body)))
+    rows += [(40, shared + shared), (41, None), (42, ""), (43, "short. text."), (None, shared), (44, "   "), (45, shared[:80])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("i", F.lit(1)).withColumn("key", F.lit(2))
+    got = substrings.dedup(df)
+    assert set(df.columns) < set(got.columns)
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "") for r in got.collect())
+    assert found == sorted((i is None, i or 0, t is None, t or "") for i, t in dedup_model(rows))
+    assert sum(shared.strip() in (r.text or "") for r in got.where("doc_id IS NOT NULL").collect()) == 1
+    assert substrings.dedup(df.limit(0)).count() == 0
+
+
+# ---- 10 nearest neighbours
+
+
+def distance(v, x):
+    total = 0.0
+    for a, b in zip(v, x, strict=True):  # sum() would compensate for rounding
+        total += (a - b) * (a - b)
+    return math.sqrt(total)
+
+
+def nearest_model(items, queries, k):
+    out = []
+    for q, v in queries:
+        scored = sorted((distance(v, x), i) for i, x in items if i != q and len(x) == len(v))
+        out += [(q, r + 1, i, s) for r, (s, i) in enumerate(scored[:k])]
+    return out
+
+
+def test_vantage_points_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF", 8)
+    monkeypatch.setattr(ann, "LEAST_SHARDS", 3)
+    x = np.random.default_rng(1).normal(size=(300, 5)).round(1)
+    x[50:90] = x[50]  # ties and a single distance
+    good = [(i, v.tolist()) for i, v in enumerate(x) if v.any()] + [(900, [1.0, 2.0]), (901, [1.5, 2.0])]
+    bad = [(700, None), (701, []), (702, [0.0] * 5), (703, [1.0, None, 0.0, 0.0, 0.0]), (704, [float("inf")] * 5), (705, [float("nan")] * 5), (None, [1.0] * 5)]
+    df = spark.createDataFrame(good + bad, "vec_id long, embedding array<double>").withColumn("id", F.lit(0)).withColumn("block", F.lit(0))
+    got = ann.nearest(df, df.where("vec_id % 100 = 0 OR vec_id >= 700"))
+    want = nearest_model(good, [(i, v) for i, v in good if i % 100 == 0 or i >= 700], 10)
+    found = sorted(tuple(r) for r in got.collect())
+    assert [f[:3] for f in found] == [w[:3] for w in sorted(want)]
+    assert [f[3] for f in found] == pytest.approx([w[3] for w in sorted(want)], abs=0)
+    assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+    loose = {(r.query_id, r.vec_id) for r in ann.nearest(df, df.where("vec_id % 100 = 0"), factor=1.3).collect()}
+    assert len(loose & {(w[0], w[2]) for w in want}) >= 0.9 * len({(w[0], w[2]) for w in want if w[0] % 100 == 0})
+
+
+# ---- shared
+
+
+def test_components_against_brute_force(spark):
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(rng.randint(0, 90), rng.randint(0, 90)) for _ in range(60)]
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    label = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in range(200):
+        for a, b in pairs:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+
+
+def test_queries_with_sql(spark, sf):
+    from oracle import same_rows
+
+    for name, sql in registry.oracle_sql().items():
+        same_rows(registry.queries()[name](spark, sf), sql, sf)
