@@ -72,7 +72,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     """(key, covered): for each document with repeats its covered runs of sentences, as an array of (i, j)."""
     small_batches(docs.sparkSession)
     found = cut(span_table(docs, key, text, least, words))
-    first = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("key", "i")).alias("first")).where("n > 1").select("a", "b", "first")
+    # cut, so that the join reads two plain shuffles and a frequent span's partition can be split
+    first = cut(found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("key", "i")).alias("first")).where("n > 1").select("a", "b", "first"))
     again = found.join(first, ["a", "b"]).where("key <> first.key OR i <> first.i")
     # a document's own sentences bound its array
     return again.groupBy("key").agg(F.collect_set(F.struct("i", "j")).alias("covered"))
