@@ -1,14 +1,17 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences. From each sentence starts a span: the fewest following sentences, two at least, with
-16 words or more together. The spans of all documents are hashed (128 bits over their words) and meet in one
-aggregation; of a hash that occurs more than once all but the first occurrence, by document and place, are
-repeats. Sentences that a repeat covers are removed from the text; everything else stays byte for byte.
-
-Counts of a hash are combined on the map side and joined back by adaptive joins, so a passage that a third of all
-documents share is no single task. Defined results: null texts stay null; a text of fewer sentences or words than a
-span asks for has none and stays; rows with equal ids are one document, whose first occurrences all stay; rows
-with a null id keep their text; extra columns stay in `dedup`'s result.
+A text is cut into sentences. Spans are runs of sentences: the shortest that starts at each sentence and the shortest
+that ends at each, of two sentences at least and 16 words or more together, and each sentence of 16 words or more by
+itself. So every sentence of a repeated passage that is long enough for a span lies in one that is whole inside the
+passage, the last ones too. The spans of all documents are hashed (128 bits over their words); of a hash that occurs
+more than once all but the first occurrence, by document and place, are repeats. Sentences that a repeat covers are
+removed from the text; everything else stays byte for byte.
+
+Half hashes are counted first, combined on the map side, so that only spans whose half occurs twice are stored; those
+meet by their whole hash. All joins are adaptive, so a passage that a third of all documents share is no single task.
+Defined results: null texts stay null; a text of fewer than 16 words has no span and stays; rows with equal ids are
+one document, whose first occurrences all stay; rows with a null id keep their text; extra columns stay in `dedup`'s
+result.
 """
 
 from __future__ import annotations
@@ -43,17 +46,27 @@ def spans(text: str, least: int = SENTENCES, words: int = WORDS) -> list[tuple[i
     """(first sentence, sentence after the last, hash) of every span."""
     ws = [text[a:b].split() for a, b in sentences(text)]
     sizes = list(map(len, ws))
-    out, j, total = [], 0, 0
-    joined = [" ".join(w) for w in ws]
-    for i in range(len(ws)):
-        while j < len(ws) and (j - i < least or total < words):
+    n = len(ws)
+    places = {(i, i + 1) for i in range(n) if sizes[i] >= words}
+    j, total = 0, 0
+    for i in range(n):
+        while j < n and (j - i < least or total < words):
             total += sizes[j]
             j += 1
         if j - i < least or total < words:
             break
-        out.append((i, j, xxhash.xxh3_128_digest(" ".join(joined[i:j]).encode("utf-8", "surrogatepass"))))
+        places.add((i, j))
         total -= sizes[i]
-    return out
+    i, total = 0, 0
+    for j in range(1, n + 1):
+        total += sizes[j - 1]
+        while j - i > least and total - sizes[i] >= words:
+            total -= sizes[i]
+            i += 1
+        if j - i >= least and total >= words:
+            places.add((i, j))
+    joined = [" ".join(w) for w in ws]
+    return [(i, j, xxhash.xxh3_128_digest(" ".join(joined[i:j]).encode("utf-8", "surrogatepass"))) for i, j in sorted(places)]
 
 
 def span_table(docs: DataFrame, key: str, text: str, least: int, words: int) -> DataFrame:
@@ -71,8 +84,11 @@ def span_table(docs: DataFrame, key: str, text: str, least: int, words: int) ->
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """(key, covered): for each document with repeats its covered runs of sentences, as an array of (i, j)."""
     small_batches(docs.sparkSession)
-    found = cut(span_table(docs, key, text, least, words))
-    # cut, so that the join reads two plain shuffles and a frequent span's partition can be split
+    found = span_table(docs, key, text, least, words)
+    # spans are made twice, which costs less than to store all of them
+    twice = cut(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
+    # cut, so that both joins read two plain shuffles and a frequent span's partition can be split
+    found = cut(found.join(twice, "a", "left_semi"))
     first = cut(found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("key", "i")).alias("first")).where("n > 1").select("a", "b", "first"))
     again = found.join(first, ["a", "b"]).where("key <> first.key OR i <> first.i")
     # a document's own sentences bound its array

@@ -452,6 +452,25 @@ def test_substring_dedup(spark):
     assert substrings.dedup(df.limit(0)).count() == 0
 
 
+def test_substring_dedup_covers_whole_passages(spark):
+    """No sentence that is whole inside a repeat of 50 words or more stays: tails, text ends and single sentences too."""
+    rng = random.Random(18)
+    line = lambda k, tag: " ".join(f"{tag}{rng.randint(0, 10**6)}" for _ in range(k)) + ". "
+    passages = [[line(k, "p") for k in sizes] for sizes in [(10, 10, 2), (25, 30, 1, 1), (9, 9, 3, 40, 2, 2), (50,), (16, 60)] + [tuple(rng.randint(1, 25) for _ in range(8)) for _ in range(6)]]
+    bare = line(60, "bare")[:-2]
+    rows = [(1, bare), (2, bare)]
+    for k, p in enumerate(passages):
+        own = [line(20, "o") for _ in range(4)]
+        rows += [(10 + 10 * k + i, a + "".join(p) + b) for i, (a, b) in enumerate([("", ""), ("", ""), (own[0], own[1]), (own[2], ""), ("", own[3])])]
+    got = {r.doc_id: r.text for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == bare and got[2] == ""
+    for k, p in enumerate(passages):
+        texts = [got[10 + 10 * k + i] for i in range(5)]
+        assert texts[0] == "".join(p)
+        assert not [s for s in p for t in texts[1:] if s.strip() in t], k
+        assert texts[1] == "" and [len(t.split()) for t in texts[2:]] == [40, 20, 20]
+
+
 # ---- 10 nearest neighbours
 
 
