@@ -125,31 +125,51 @@ def plain(c: str) -> str:
 GLYPH = "[" + "".join(map(re.escape, LOOKALIKES)) + re.escape(DOTS + ATS + ZERO_WIDTH) + "＀-～①-⓪\U0001d400-\U0001d7ff٠-٩۰-۹०-९‐‑‒–—−    ]"
 GLYPHS = re.compile(GLYPH)
 BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:({AT_WORDS}|@)|({DOT_WORDS}|\.))\s*[\])}}>]\s*", re.I)
+DASH_WORDS, PLUS_WORDS = "dash|hyphen", "plus|más|mas"
 LABEL = r"[A-Za-z0-9-]+"
 DOT = rf"(?:\s+(?:{DOT_WORDS})\s+|\.)"
-TLD = r"(?:com|org|net|edu|gov|io|info|biz|co|uk|de|fr|es|eu|us|ch|at)"
-#: What follows the "at": labels and a known last one; what may stand before it.
-AT = re.compile(rf"\s+(?:{AT_WORDS})\s+|@", re.I)
-HOST = re.compile(rf"{LABEL}(?:{DOT}{LABEL}){{0,4}}?{DOT}{TLD}(?![A-Za-z0-9-])", re.I)
+#: Last labels that are taken after any "at" and any dot.
+KNOWN = frozenset("com org net edu gov io info biz co uk de fr es eu us ch at".split())
+#: Further ones that are no words and no endings of file names: taken after a bare dot and after "point", which prose has too.
+LISTED = frozenset(
+    "ac ad ae af ag ai al ao ar au aw ax az ba bb bd bf bg bh bi bj bm bn bo br bs bt bw bz ca cd cf cg ci ck cl cm cn cr cu cv cw cx cy cz dj dk dm dz ec ee eg er et fi fj fk fm fo ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu ie il iq ir je jm jo jp ke kg kh ki km kn kp kr kw ky kz lb lc li lk lr ls lt lu lv ly mc mg mh mk mm mn mp mq mr ms mt mu mv mw mx mz nc ne nf ng ni nl np nr nu nz om pe pf pg ph pk pl pn pr pt pw qa ro ru rw sb sc sd se sg si sj sk sl sm sn sr ss st sv sx sy sz tc td tf tg th tj tk tl tm tn tr tt tv tw tz ua ug uy uz vc ve vg vi vn vu ws yt za zm zw dev app test mobi xyz mil".split()
+)
+#: Words that go on with a sentence and are no country's label: never a last label.
+PROSE = frozenset(
+    "the and or on of for from with without that this these those there which who whom whose when where while then than but if an are was were been being have has had he she we they you his her its their our your not into onto over under after before between about above below again also just only very can could will would shall should may might must "
+    "der die das und oder auf für von vom mit ist sind war ein eine einen dem den des im zu zum zur nicht wie wenn als sich wir sie ihr le les un une et ou du des dans pour sur avec est sont qui que dont où el los las unos unas y o del con para por que como donde es son".split()
+) - KNOWN
+#: What follows the "at": labels and dots; what may stand before it.
+AT = re.compile(rf"\s+({AT_WORDS})\s+|@", re.I)
+HOST = re.compile(rf"{LABEL}(?:{DOT}{LABEL})+(?![A-Za-z0-9-])", re.I)
+HOST_PART = re.compile(rf"({DOT})({LABEL})", re.I)
 NAME = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}$", re.I)
 NO_HOST = frozenset("the a an this that these those my your our his her its their any some each every one no".split())
+#: Signs of a written-out address that prose lacks or seldom has.
+CLEAR_AT, CLEAR_DOT = frozenset(("@", "arroba", "arobase")), frozenset(("dot", "punkt", "punto"))
 WORDED_DOT = re.compile(rf"\s+(?:{DOT_WORDS})\s+", re.I)
 #: A run of four or more digits, some of them spelled; dots, dashes and a plus may be spelled too.
-SAID = re.compile(rf"(?:\b(?:plus|más|mas)\s+|\+\s*)?\b(?:{NUMBER}|[0-9]{{1,4}})\b(?:(?:[\s,.()-]{{1,3}}|\s+(?:{DOT_WORDS}|dash|hyphen)\s+)(?:{NUMBER}|[0-9]{{1,4}})\b){{3,}}", re.I)
-SAID_PART = re.compile(rf"(\b(?:plus|más|mas)\s+|\+\s*)|\b({NUMBER})\b|([0-9]+)|([\s,]+(?:{DOT_WORDS})\s+|\.)|([\s,()-]+(?:dash|hyphen)?[\s,()-]*)", re.I)
+SAID, SAID_LONG = (
+    re.compile(rf"(?:\b(?:{PLUS_WORDS})\s+|\+\s*)?\b(?:{NUMBER}|{g})\b(?:(?:[\s,.()-]{{1,3}}|\s+(?:{DOT_WORDS}|{DASH_WORDS})\s+)(?:{NUMBER}|{g})\b){{3,}}", re.I)
+    for g in ("[0-9]{1,4}", "[0-9]+")
+)
+#: Where a group is longer, the text is read both ways: it may be a part of the number or stand before it.
+LONG_GROUP = re.compile(rf"[\d{ZERO_WIDTH}①-⓪]{{5}}")
+SAID_WORD = re.compile(rf"\b(?:{NUMBER}|{DOT_WORDS}|{DASH_WORDS}|{PLUS_WORDS})\b", re.I)
+SAID_PART = re.compile(rf"(\b(?:{PLUS_WORDS})\s+|\+\s*)|\b({NUMBER})\b|([0-9]+)|([\s,]+(?:{DOT_WORDS})\s+|\.)|([\s,()-]+({DASH_WORDS})?[\s,()-]*)", re.I)
 #: Cheap tests for a disguise, on the text's lower-cased words: without a hint a transducer returns the text as it is.
 SPLIT = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 SAID_HINT = frozenset(w.encode() for w in SPELLED)
-AT_HINT, DOT_HINT = (frozenset(x.encode() for x in w.split("|")) for w in (AT_WORDS, DOT_WORDS))
+AT_HINT, DOT_HINT, JOINT_HINT = (frozenset(x.encode() for x in w.split("|")) for w in (AT_WORDS, DOT_WORDS, f"{DOT_WORDS}|{DASH_WORDS}|{PLUS_WORDS}"))
+SAY_HINT = SAID_HINT | JOINT_HINT
 
 
 def hints(text: str) -> tuple[bool, bool]:
     """(spelled digits may be there, a worded address may be there)."""
     tokens = text.lower().encode("utf-8", "surrogatepass").translate(SPLIT).split()
     kinds = set(tokens)
-    said = not SAID_HINT.isdisjoint(kinds) and any(
-        n in SAID_HINT or n.isdigit() or p.isdigit() for w, n, p in zip(tokens, [*tokens[1:], b""], [b"", *tokens[:-1]], strict=False) if w in SAID_HINT
-    )
+    # a spelled digit, dot, dash or plus beside another one or a digit
+    said = not SAY_HINT.isdisjoint(kinds) and any(n in SAY_HINT or n.isdigit() if w in SAY_HINT else n in SAY_HINT and w.isdigit() for w, n in zip(tokens, tokens[1:], strict=False))
     return said, not AT_HINT.isdisjoint(kinds) or "@" in text and not DOT_HINT.isdisjoint(kinds)
 
 
@@ -186,19 +206,33 @@ class Offsets:
         return (a if new_a else a + start - self.starts[i]), (b_end if new_b else b + end - self.starts[j]), changed
 
 
-def stages(text: str) -> Iterator[list[Piece]]:
+def host_end(text: str, at: str, start: int) -> int:
+    """Where the host name that starts at `start` ends, after the mark `at`; -1 if there is none."""
+    host = HOST.match(text, start)
+    if not host or re.split(r"[\s.]", host.group(), maxsplit=1)[0].lower() in NO_HOST:
+        return -1
+    end = -1
+    for p in HOST_PART.finditer(text, start, host.end()):
+        dot, last = p.group(1).strip().lower(), p.group(2).lower()
+        clear = dot in CLEAR_DOT or at.lower() in CLEAR_AT
+        if last in KNOWN or last in LISTED or clear and last not in PROSE and len(last) > 1 and last.isalpha():
+            end = p.end()
+    return end
+
+
+def stages(text: str, pattern: re.Pattern = SAID) -> Iterator[list[Piece]]:
     """The pieces that each transducer rewrites; each gets the text that the one before it made."""
     glyphs = [(m.start(), m.end(), plain(m.group())) for m in GLYPHS.finditer(text)] if not text.isascii() else []
     text = yield [p for p in glyphs if p[2] != text[p[0] : p[1]]]
     said: list[Piece] = []
     may_say, may_word = hints(text)
     if may_say:
-        for m in SAID.finditer(text):
-            if not re.search(NUMBER, m.group(), re.I):
+        for m in pattern.finditer(text):
+            if not SAID_WORD.search(m.group()):
                 continue
             parts = list(SAID_PART.finditer(text, m.start(), m.end()))
             for i, p in enumerate(parts):
-                plus, word, _, dot, gap = p.groups()
+                plus, word, _, dot, gap, dash = p.groups()
                 if plus:
                     said.append((*p.span(), "+"))
                 elif word:
@@ -207,18 +241,18 @@ def stages(text: str) -> Iterator[list[Piece]]:
                     said.append((*p.span(), "."))
                 elif gap and 0 < i < len(parts) - 1:
                     near = parts[i - 1].group(2) or parts[i + 1].group(2)
-                    said.append((*p.span(), "" if near else gap))
+                    said.append((*p.span(), "" if near else "-" if dash else gap))
     text = yield [p for p in said if p[2] != text[p[0] : p[1]]]
     marks = [(*m.span(), "@" if m.group(1) else ".") for m in BRACKETED.finditer(text)] if any(c in text for c in "[({<") else []
     text = yield marks
     worded: list[Piece] = []
     for m in AT.finditer(text) if may_word or marks else ():
-        host = HOST.match(text, m.end())
-        if not host or re.split(r"[\s.]", host.group(), maxsplit=1)[0].lower() in NO_HOST:
+        end = host_end(text, m.group(1) or "@", m.end())
+        if end < 0:
             continue
         near = max(0, m.start() - 280)
         if name := NAME.search(text[near : m.start()]):
-            worded += [(*m.span(), "@")] + [(*x.span(), ".") for x in WORDED_DOT.finditer(text, *host.span())]
+            worded += [(*m.span(), "@")] + [(*x.span(), ".") for x in WORDED_DOT.finditer(text, m.end(), end)]
             worded += [(near + x.start(), near + x.end(), ".") for x in WORDED_DOT.finditer(text[near : m.start()], *name.span())]
     worded = [p for p in worded if p[2] != text[p[0] : p[1]]]
     yield worded
@@ -233,19 +267,20 @@ def hidden_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]
             for t in re.finditer(r"[0-9]+", m.group()):
                 if card_ok(t.group()):
                     found["card"].add((m.start() + t.start(), m.start() + t.end()))
-    maps: list[Offsets] = []
-    steps = stages(text)
-    pieces, now = next(steps), text
-    while True:
-        if pieces:
-            now, offsets = rewrite(now, pieces)
-            maps.append(offsets)
-        try:
-            pieces = steps.send(now)
-        except StopIteration:
-            break
-    if maps:
-        for kind, detect in DETECT.items():
+    long_group = LONG_GROUP.search(text) and (not text.isascii() or hints(text)[0])
+    for pattern in (SAID, SAID_LONG) if long_group else (SAID,):
+        maps: list[Offsets] = []
+        steps = stages(text, pattern)
+        pieces, now = next(steps), text
+        while True:
+            if pieces:
+                now, offsets = rewrite(now, pieces)
+                maps.append(offsets)
+            try:
+                pieces = steps.send(now)
+            except StopIteration:
+                break
+        for kind, detect in DETECT.items() if maps else ():
             for a, b in detect(now):
                 changed = False
                 for offsets in reversed(maps):
@@ -257,7 +292,7 @@ def hidden_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]
     for kind, spans in found.items():
         taken = sorted(base[kind])
         kept: list[Span] = []
-        for a, b in sorted(spans):
+        for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
             first, last = bisect_right(taken, (a, -1)), bisect_right(taken, (b - 1, 1 << 60))
             first -= first > 0 and taken[first - 1][1] > a
             near = taken[first:last]

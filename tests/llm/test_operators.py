@@ -255,6 +255,28 @@ def test_disguises_map_back(text, kind, hidden):
     assert (at, at + len(hidden)) in every[kind] or any(text[a:b] == hidden for a, b in every[kind]), every
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "hidden"),
+    [
+        ("dns eight dot eight dot eight dot eight is up", "ip", "eight dot eight dot eight dot eight"), ("host 192 dot 168 dot 1 dot 20 is down", "ip", "192 dot 168 dot 1 dot 20"),
+        ("card four dash one dash one dash one dash one dash one dash one dash one dash one dash one dash one dash one dash one dash one dash one dash one ok", "card", "four" + " dash one" * 15),
+        ("card 4111 dash 1111 dash 1111 dash 1111 ok", "card", "4111 dash 1111 dash 1111 dash 1111"), ("call plus 1 555 123 4567 today", "phone", "plus 1 555 123 4567"),
+        ("write to jane at example dot it today", "email", "jane at example dot it"), ("write to jane at example dot nl", "email", "jane at example dot nl"), ("jane at example dot photography, please", "email", "jane at example dot photography"),
+        ("jane at mail dot example dot co dot uk now", "email", "jane at mail dot example dot co dot uk"), ("jane arroba ejemplo punto lat hoy", "email", "jane arroba ejemplo punto lat"), ("jane at example.ca now", "email", "jane at example.ca"),
+        *((f"mail jane at example dot {x} now", "email", f"jane at example dot {x}") for x in "ca ru dev app test".split()),
+        ("call +49 30 12345 six seven eight now", "phone", "+49 30 12345 six seven eight"), ("card 41111 one one one one one one one one one one one ok", "card", "41111" + " one" * 11),
+        ("ticket 1234567 one nine two dot one six eight dot one dot one", "ip", "one nine two dot one six eight dot one dot one"),
+    ],
+)
+def test_more_disguises_map_back(text, kind, hidden):
+    assert [text[a:b] for a, b in pii.find(text)[1][kind]] == [hidden]
+
+
+def test_prose_with_dots_and_dashes_has_no_spans():
+    for t in ("They met at boiling point it was said", "The error at script.py, the one at user.id", "a look at red dot on paper", "stay at home.It was late", "from point 5 to point 6", "at this point in time, at noon. Then", "pages 12 dash 15"):
+        assert not any(pii.find(t)[1].values()), (t, pii.find(t)[1])
+
+
 def test_clean_texts_have_no_spans():
     for t in ("We met at the dot com era, one two three times.", "Look at example dot com in the year two thousand", "Sections 1.2 and 3.4, 12 of 14", "at dot at dot", "", None, "one two three four five"):
         base, every = pii.find(t)
