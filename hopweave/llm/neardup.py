@@ -207,21 +207,42 @@ def shard_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
     return tasks.mapInPandas(search, "a long, b long")
 
 
+def components(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, component) of the distinct fingerprints of `classes` (fp, ...): the smallest fingerprint reachable."""
+    classes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    parts = connected_components(shard_links(classes.select("fp", F.col("fp").alias("id")), radius))
+    return classes.select("fp").join(parts, classes.fp == parts.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """key, fingerprint (16 hex digits), component_id (the smallest key reachable) of every row."""
+    """key, fingerprint (16 hex digits), component_id (the smallest key reachable, null where all are) of every row."""
     prints = cut(with_fingerprints(docs, key, text))
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
-    classes = prints.groupBy("fp").agg(F.min(key).alias("id")).where("id IS NOT NULL")
-    parts = connected_components(shard_links(classes, radius))
-    named = classes.join(parts, classes.id == parts.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    classes = cut(prints.groupBy("fp").agg(F.min(key).alias("id")))
+    parts = cut(classes.join(components(classes, radius), "fp"))
+    least = parts.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = parts.join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp", "left").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` of one document of each group: the one with the smallest key; of repeated rows one stays."""
-    first = group(docs, key, text, radius).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(first, key, "left_semi").dropDuplicates([key])
+    """One row of `docs` of each group: that with the smallest key, null ones last; of rows with one key that with the smallest hash.
+
+    Groups are named by their fingerprints and rows by their key and two hashes of all columns, so null and repeated
+    keys lose no group. Only rows that are equal in everything have one name; of them one stays.
+    """
+    small_batches(docs.sparkSession)
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    name = [F.col(key).isNull().alias("none_"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key_"), F.xxhash64(*every).alias("h_"), F.xxhash64(F.lit(7), *every).alias("g_")]
+    names = ["none_", "key_", "h_", "g_"]
+
+    @F.pandas_udf("long")
+    def print_(texts: pd.Series) -> pd.Series:
+        return pd.Series(fingerprints(texts).view(np.int64))
+
+    prints = cut(docs.select(*name, print_(text).alias("fp")))
+    classes = cut(prints.groupBy("fp").agg(F.min(F.struct(*names)).alias("first")))
+    first = cut(classes.join(components(classes, radius), "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.*"))
+    return docs.select(*every, *name).join(first, names, "left_semi").dropDuplicates(names).select(*every)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -401,6 +401,35 @@ def test_neardup_fingerprints_and_groups(docs, rows):
     assert kept.columns == docs.columns and set(kept.where("doc_id >= 1000 AND doc_id < 1100").toPandas()["doc_id"]) == {1_000}
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Null and repeated ids, single ones and whole groups, lose no component; each keeps one row, always the same."""
+    rng = random.Random(21)
+    text = lambda k=80: " ".join(f"t{rng.randint(0, 10**6)}" for _ in range(k))
+    alone, nulls, mixed = text(), text(), text()
+    rows = [(None, alone), (None, nulls), (None, nulls), (None, nulls), (None, mixed), (8, mixed), (7, mixed), (7, mixed)]
+    rows += [(5, text()) for _ in range(3)] + [(i, text()) for i in (1, 2)] + [(None, text()) for _ in range(20)]
+    rows += [(None, None), (None, ""), (9, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("i", F.lit(1))
+    kept = [(r.doc_id, r.text) for r in neardup.keep_one(df).collect()]
+    assert neardup.keep_one(df).columns == df.columns
+    prints = [print_model(t) for _, t in rows]
+    label = components_model(dict(enumerate({p} for p in prints)))
+    assert len(kept) == len(set(label.values()))
+    assert {label[rows.index(k)] for k in kept} == set(label.values())
+    assert (None, alone) in kept and (None, nulls) in kept and (7, mixed) in kept and (9, " ") in kept
+    again = [(r.doc_id, r.text) for r in neardup.keep_one(df.orderBy(F.desc("text")).repartition(3)).collect()]
+    assert Counter(kept) == Counter(again)
+
+
+def test_chains_through_null_ids(spark, monkeypatch):
+    """1 and 2 are near only to a text without an id."""
+    bits = {"a": 0, "b": 0b111, "c": 0b111111, "d": -1}
+    monkeypatch.setattr(neardup, "with_fingerprints", lambda docs, key, text: docs.select(key, F.create_map(*(F.lit(x) for kv in bits.items() for x in kv))[F.col(text)].cast("long").alias("fp")))
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (None, "d")], "doc_id long, text string")
+    got = {(r.doc_id, r.fingerprint[-2:]): r.component_id for r in neardup.group(df).collect()}
+    assert got == {(1, "00"): 1, (None, "07"): 1, (2, "3f"): 1, (None, "ff"): None}
+
+
 @pytest.mark.parametrize("shard", [1024, 8])
 def test_neardup_links_of_close_fingerprints(spark, shard):
     """Chains, stars and a block value that all share, whole and dealt into parts."""
