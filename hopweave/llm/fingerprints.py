@@ -2,8 +2,9 @@
 
 Terms are runs of five words (the whole text where it is shorter), weighted by how often they occur.
 Each term's 128 hash bits vote with that weight on 128 signed counters; a fingerprint bit is 1 where the
-sum is positive. Votes are counted in packed lanes: four 16-bit counters to a long, over at most 32,768
-terms at a time, so a document of any length is summed up in bounded state and on the map side.
+sum is positive. Votes are counted in packed lanes: four 16-bit counters to a long, over at most 16,384
+terms at a time (the top lane of 32,768 would overflow a long), so a document of any length is summed up in bounded
+state and on the map side.
 
 Defined results: null and empty texts have the all-zero fingerprint; equal texts have equal fingerprints;
 rows with equal ids are ordered by their text; null ids come first; extra columns are ignored.
@@ -19,7 +20,7 @@ from .common import table, words
 
 WORDS = 5
 BITS = 128
-LANES, CHUNK = 16, 32_768
+LANES, CHUNK = 16, 16_384
 LANE_MASK = 0x0001_0001_0001_0001
 MOST_BUCKETS, CHARS_A_BUCKET = 16_384, 64_000_000
 

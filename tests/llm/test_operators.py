@@ -157,6 +157,13 @@ def test_fingerprints_of_edits(spark, docs, rows):
     assert fingerprints.describe(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_of_long_repetitive_texts(spark):
+    """Every term votes for the same bits, so a text of 40,000 equal words has the fingerprint of five."""
+    df = spark.createDataFrame([(1, "w " * 40_000), (2, "w " * 5)], "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in fingerprints.votes(df, ["doc_id"], "text").collect()}
+    assert got[1] == got[2] != "0" * 32
+
+
 def test_fingerprint_search_finds_all(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(128) for _ in range(30)]
