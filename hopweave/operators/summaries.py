@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from hopweave.config import Config
 from hopweave.functions.text import summarize
+from hopweave.sources.lineage import cut
 
 DEFAULT = Config()
-#: Chunks of a title that one task clusters; longer titles are cut into runs of so many chunks.
+#: Chunks of a title that one task clusters; longer titles are clustered by the same rule in sums over all tasks.
 MOST_CHUNKS, ITERATIONS, SEED = 10_000, 25, 13
 
 
@@ -19,10 +20,14 @@ def cluster_count(n, config: Config = DEFAULT):
     return F.greatest(F.lit(1), F.least(F.floor(n / config.cluster_size), F.lit(config.max_clusters))).cast("int")
 
 
-def k_means(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels by Lloyd's rounds from spread-out rows; the same for the same rows in the same order."""
-    random = np.random.default_rng(SEED)
-    centres = [x[random.integers(len(x))]]
+def start(n: int) -> int:
+    """How far behind a title's first position its first centre is looked for."""
+    return int(np.random.default_rng(SEED).integers(n))
+
+
+def k_means(x: np.ndarray, k: int, first: int) -> np.ndarray:
+    """Labels by Lloyd's rounds from spread-out rows, row `first` and those farthest from the ones before."""
+    centres = [x[first]]
     for _ in range(k - 1):
         far = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
         centres.append(x[far.argmax()])
@@ -37,23 +42,69 @@ def k_means(x: np.ndarray, k: int) -> np.ndarray:
     return labels
 
 
+def large_k_means(rows: DataFrame, most: int) -> DataFrame:
+    """(title, chunk_id, pos, cluster) of (title, chunk_id, pos, v, k, target): `k_means` for titles that no task holds.
+
+    A round is one sum over all rows; at most `most` centres a title go to the tasks.
+    """
+    size = F.coalesce(F.size("v"), F.lit(-1))
+    kinds = rows.groupBy("title").agg((F.max(F.col("v").isNull()) | (F.min(size) != F.max(size)) | (F.max(size) < 1)).alias("one"))
+    rows = cut(rows.join(F.broadcast(kinds), "title"))
+    plain = rows.where("one").select("title", "chunk_id", "pos", F.lit(0).alias("cluster"))
+    live = rows.where("NOT one").select("title", "chunk_id", "pos", "v", "k", "target")
+    dims = live.agg(F.max(F.size("v"))).first()[0]
+    if dims is None:
+        return plain
+    square = lambda c: F.aggregate(F.zip_with("v", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, b: a + b)
+    apart = lambda c: F.transform(c, square)
+    nearest = lambda c: (F.array_position(apart(c), F.array_min(apart(c))) - 1).cast("int")
+    state = cut(live.groupBy("title").agg(F.first("k").alias("k"), F.array(F.max_by("v", F.when(F.col("pos") <= F.col("target"), F.struct("pos", "chunk_id")))).alias("c")))
+    for _ in range(most - 1):
+        far = live.drop("k").join(F.broadcast(state), "title").groupBy("title").agg(F.max_by("v", F.struct(F.array_min(apart("c")), -F.col("pos"))).alias("far"))
+        state = cut(state.join(far, "title").select("title", "k", F.when(F.size("c") < F.col("k"), F.concat("c", F.array("far"))).otherwise(F.col("c")).alias("c")))
+    state = state.select("title", "k", "c", F.lit(None).cast("array<array<double>>").alias("before"))
+    for _ in range(ITERATIONS):
+        at = live.drop("k").join(F.broadcast(state), "title").select("title", "v", nearest("c").alias("new"), F.coalesce(nearest("before"), F.lit(0)).alias("old"))
+        mean = F.slice(F.array(*(F.avg(F.get("v", F.lit(d))) for d in range(dims))), 1, F.max(F.size("v")))
+        sums = at.groupBy("title", "new").agg(mean.alias("mean"), F.sum((F.col("new") != F.col("old")).cast("long")).alias("moved"))
+        sums = sums.groupBy("title").agg(F.map_from_entries(F.collect_list(F.struct("new", "mean"))).alias("means"), F.sum("moved").alias("moved"))
+        centres = F.transform("c", lambda c, i: F.coalesce(F.try_element_at("means", i), c))
+        stepped = cut(state.join(sums, "title").select("title", "k", centres.alias("c"), F.col("c").alias("before"), "moved"))
+        state = stepped.drop("moved")
+        if stepped.where("moved > 0").isEmpty():
+            break
+    # labels of the round's own centres, as in k_means
+    return live.drop("k").join(F.broadcast(state), "title").select("title", "chunk_id", "pos", nearest("before").alias("cluster")).unionByName(plain)
+
+
 def clusters(chunks: DataFrame, config: Config = DEFAULT, embedding: str = "embedding") -> DataFrame:
-    """(title, chunk_id, pos, cluster) of (title, chunk_id, pos, embedding)."""
+    """(title, chunk_id, pos, cluster) of (title, chunk_id, pos, embedding); clusters are below `max_clusters`."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("pos", kind="stable")
         k = int(b["k"].iloc[0])
         one = b["v"].isna().any() or len({len(v) for v in b["v"]}) > 1
-        labels = np.zeros(len(b), int) if k == 1 or one else k_means(np.stack(b["v"].to_numpy()), k)
-        return pd.DataFrame({"title": b["title"].to_list(), "chunk_id": b["chunk_id"].to_list(), "pos": b["pos"].to_list(), "cluster": labels + config.max_clusters * b["run"].to_numpy()})
+        pos = b["pos"].to_numpy()
+        labels = np.zeros(len(b), int) if k == 1 or one else k_means(np.stack(b["v"].to_numpy()), k, int(np.searchsorted(pos, pos[0] + start(len(b)), side="right")) - 1)
+        return pd.DataFrame({"title": b["title"].to_list(), "chunk_id": b["chunk_id"].to_list(), "pos": b["pos"].to_list(), "cluster": labels})
+
+    @F.pandas_udf("long")
+    def starts(n: pd.Series) -> pd.Series:
+        return n.map(start)
 
     sizes = chunks.groupBy("title").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     rows = chunks.select("title", "chunk_id", "pos", F.col(embedding).cast("array<double>").alias("v")).join(sizes, "title")
-    run_ = F.when(F.col("n") <= MOST_CHUNKS, 0).otherwise(F.floor((F.col("pos") - F.col("first")) / MOST_CHUNKS)).cast("int")
-    rows = rows.withColumn("run", run_).withColumn("k", cluster_count(F.col("n"), config)).drop("n", "first")
+    rows = rows.withColumn("k", cluster_count(F.col("n"), config))
     # a title with one cluster needs no model
-    many = rows.where("k > 1").groupBy("title", "run").applyInPandas(run, "title string, chunk_id string, pos long, cluster int")
-    return rows.where("k = 1").select("title", "chunk_id", "pos", (F.col("run") * config.max_clusters).alias("cluster")).unionByName(many)
+    several = rows.where("k > 1")
+    small = several.where(F.col("n") <= MOST_CHUNKS).groupBy("title").applyInPandas(run, "title string, chunk_id string, pos long, cluster int")
+    out = rows.where("k = 1").select("title", "chunk_id", "pos", F.lit(0).alias("cluster")).unionByName(small)
+    large = sizes.where(F.col("n") > MOST_CHUNKS)
+    if config.max_clusters < 2 or large.isEmpty():
+        return out
+    large = cut(large.select("title", (F.col("first") + starts("n")).alias("target")))
+    wide = several.where(F.col("n") > MOST_CHUNKS).join(F.broadcast(large), "title").select("title", "chunk_id", "pos", "v", "k", "target")
+    return out.unionByName(large_k_means(wide, config.max_clusters))
 
 
 def cluster_texts(chunks: DataFrame, clustered: DataFrame) -> DataFrame:

@@ -168,3 +168,16 @@ def test_summary_tree_of_long_titles(spark, monkeypatch):
     got = {r.id: r for r in nodes.collect()}
     assert "summary_l2_t" in got and "summary_l2_one" not in got and got["summary_l1_one_0"].text == "[one] Alone."
     assert {r.target for r in links.collect() if r.type == "CONTAINS_CHUNK"} == {f"chunk_{i}" for i in range(26)}
+
+
+def test_clusters_of_large_titles_follow_the_same_rule(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(f"t{t}", f"c{t}_{i}", 3 * i + t, [float(x) for x in rng.normal(size=3) + 4 * (i % 3)]) for t, n in ((0, 90), (1, 31), (2, 12)) for i in range(n)]
+    rows += [("gap", f"g{i}", i, None if i == 7 else [1.0 * i]) for i in range(40)]
+    df = spark.createDataFrame(rows, "title string, chunk_id string, pos long, embedding array<double>")
+    found = lambda: {(r.title, r.chunk_id): r.cluster for r in summaries.clusters(df).collect()}
+    small = found()
+    monkeypatch.setattr(summaries, "MOST_CHUNKS", 20)
+    large = found()
+    assert large == small and len(large) == len(rows)
+    assert max(large.values()) < 5 and len({c for (t, _), c in large.items() if t == "t0"}) > 1
