@@ -7,8 +7,9 @@ the bytes of every shorter prefix. Only where a fine bucket is still too large d
 with more bits.
 
 Defined results: null texts have 0 bytes; a document larger than the limit gets a shard of its own (its bucket is
-split until nothing else is in it); rows that share all 60 bits, such as repeated rows, are spread over
-numbered parts of their bucket by a hash of their place in the input; an empty table gives no shards.
+split until nothing else is in it); a bucket of rows that share all 60 bits, such as rows of one id, is split on by
+the same rule: on 60 bits of a hash of the text, and where these are shared too, of a hash of the place in the input,
+so only which copy of a text lies in which part depends on the input's order; an empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -32,59 +33,81 @@ def prefix(depth):
 
 
 def directory(sized: DataFrame, limit: int) -> DataFrame:
-    """(depth, prefix, bytes, docs): the leaves of the directory over `sized` (h, bytes)."""
+    """(base, depth, prefix, bytes, docs): the leaves of the directory below each base, over `sized` (base, h, bytes)."""
     total = sized.agg(F.sum("bytes"), F.count("*")).first()
     start, leaves, open_ = 0, None, sized
     least = max(0, ((total[0] or 0) // max(1, limit)).bit_length())
     while True:
         fine = min(HASH_BITS, start + (least if start == 0 else 0) + FINE_BITS)
-        counts = open_.groupBy(prefix(F.lit(fine)).alias("fine")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("docs"))
+        counts = open_.groupBy("base", prefix(F.lit(fine)).alias("fine")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("docs"))
         counts = cut(counts)
         depths = F.explode(F.sequence(F.lit(start), F.lit(fine)))
-        nodes = counts.select("fine", "bytes", "docs", depths.alias("depth")).withColumn("prefix", F.call_function("shiftright", F.col("fine"), F.lit(fine) - F.col("depth")))
-        nodes = nodes.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"))
+        nodes = counts.select("base", "fine", "bytes", "docs", depths.alias("depth")).withColumn("prefix", F.call_function("shiftright", F.col("fine"), F.lit(fine) - F.col("depth")))
+        nodes = nodes.groupBy("base", "depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"))
         fits = (F.col("bytes") <= limit) | (F.col("docs") == 1)
         nodes = cut(nodes.withColumn("fits", fits | (F.col("depth") == HASH_BITS)))
         # a leaf fits and its parent doesn't
-        parent = nodes.where("NOT fits").select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("above"))
+        parent = nodes.where("NOT fits").select("base", (F.col("depth") + 1).alias("depth"), F.col("prefix").alias("above"))
         found = nodes.where("fits").withColumn("above", F.call_function("shiftright", F.col("prefix"), F.lit(1)))
         tops = found.where(F.col("depth") == start)
-        below = found.where(F.col("depth") > start).join(parent, ["depth", "above"], "left_semi")
-        new = tops.unionByName(below).select("depth", "prefix", "bytes", "docs")
+        below = found.where(F.col("depth") > start).join(parent, ["base", "depth", "above"], "left_semi")
+        new = tops.unionByName(below).select("base", "depth", "prefix", "bytes", "docs")
         leaves = new if leaves is None else leaves.unionByName(new)
-        rest = nodes.where((F.col("depth") == fine) & ~F.col("fits")).select(F.col("prefix").alias("fine_"))
+        rest = nodes.where((F.col("depth") == fine) & ~F.col("fits")).select("base", F.col("prefix").alias("fine_"))
         if fine == HASH_BITS or rest.isEmpty():
             return cut(leaves)
-        open_ = cut(open_.withColumn("fine_", prefix(F.lit(fine))).join(rest, "fine_", "left_semi").drop("fine_"))
+        open_ = cut(open_.withColumn("fine_", prefix(F.lit(fine))).join(rest, ["base", "fine_"], "left_semi").drop("fine_"))
         start = fine + 1
 
 
+def placed(sized: DataFrame, limit: int) -> DataFrame:
+    """(key, bytes, place, shard, depth, shard_bytes, shard_docs) of every row of `sized` (key, h, bytes, text_hash, place)."""
+    out, level = None, 0
+    sized = sized.withColumn("base", F.lit(""))
+    while True:
+        leaves = directory(sized.select("base", "h", "bytes"), limit)
+        depths = [r.depth for r in leaves.select("depth").distinct().collect()]  # at most HASH_BITS + 1
+        # each document tries the depths that leaves have; exactly one of its prefixes is a leaf
+        tries = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), prefix(F.lit(d)).alias("prefix")) for d in sorted(depths)))) if depths else F.explode(F.array(F.struct(F.lit(0).alias("depth"), F.col("h").alias("prefix"))))
+        rows = sized.select("base", "key", "bytes", "text_hash", "place", tries.alias("t")).select("base", "key", "bytes", "text_hash", "place", "t.*")
+        leaves = leaves.select("base", "depth", "prefix", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
+        rows = rows.join(leaves, ["base", "depth", "prefix"])
+        bits = F.when(F.col("depth") == 0, "").otherwise(F.expr("right(lpad(conv(prefix, 10, 2), 60, '0'), depth)"))
+        rows = rows.withColumn("shard", F.concat("base", bits)).withColumn("depth", F.col("depth") + HASH_BITS * level)
+        full = (F.col("depth") == HASH_BITS * (level + 1)) & (F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)
+        done = rows.where(~full).select("key", "bytes", "place", "shard", "depth", "shard_bytes", "shard_docs")
+        out = done if out is None else out.unionByName(done)
+        if leaves.where((F.col("depth") == HASH_BITS) & (F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)).isEmpty():
+            return out
+        level += 1
+        h = F.col("text_hash") if level == 1 else F.xxhash64("place", F.lit(level))
+        sized = cut(rows.where(full).select(F.concat("shard", F.lit(".")).alias("base"), "key", "bytes", "text_hash", "place", F.shiftrightunsigned(h, 64 - HASH_BITS).alias("h")))
+
+
+def sizes(docs: DataFrame, key: str, text: str, place) -> DataFrame:
+    """(key, h, bytes, text_hash, place) of every row of `docs`; `place` names a row."""
+    n = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    return docs.select(F.col(key).alias("key"), hash_bits(key).alias("h"), n.alias("bytes"), F.xxhash64(text).alias("text_hash"), place.alias("place"))
+
+
 def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """(key, n_bytes, shard, depth, shard_bytes, shard_docs) for each row of `docs`.
 
-    `shard` is the bucket's bit string, followed by ``.part`` where 60 bits don't suffice.
+    `shard` is the bucket's bit string, with a ``.`` after every 60 bits where these don't suffice; its bytes and
+    rows are its own.
     """
-    sized = docs.select(F.col(key).alias("key"), hash_bits(key).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.monotonically_increasing_id().alias("place"))
-    sized = cut(sized)
-    leaves = directory(sized.select("h", "bytes"), limit)
-    depths = [r.depth for r in leaves.select("depth").distinct().collect()]  # at most HASH_BITS + 1
-    # each document tries the depths that leaves have; exactly one of its prefixes is a leaf
-    tries = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), prefix(F.lit(d)).alias("prefix")) for d in sorted(depths)))) if depths else F.explode(F.array(F.struct(F.lit(0).alias("depth"), F.col("h").alias("prefix"))))
-    rows = sized.select("key", "h", "bytes", "place", tries.alias("t")).select("key", "h", "bytes", "place", "t.*")
-    leaves = leaves.select("depth", "prefix", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
-    rows = rows.join(leaves, ["depth", "prefix"])
-    bits = F.when(F.col("depth") == 0, "").otherwise(F.expr("right(lpad(conv(prefix, 10, 2), 60, '0'), depth)"))
-    parts = F.ceil(F.col("shard_bytes") * 2 / limit)
-    split = (F.col("depth") == HASH_BITS) & (F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)
-    shard = F.when(split, F.concat(bits, F.lit("."), F.pmod(F.xxhash64("place"), parts).cast("string"))).otherwise(bits)
-    return rows.select(F.col("key").alias(key), F.col("bytes").alias("n_bytes"), shard.alias("shard"), "depth", "shard_bytes", "shard_docs")
+    rows = placed(cut(sizes(docs, key, text, F.monotonically_increasing_id())), limit)
+    return rows.select(F.col("key").alias(key), F.col("bytes").alias("n_bytes"), "shard", "depth", "shard_bytes", "shard_docs")
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> None:
-    """Write `docs` with a folder for each shard; a shard is one task's rows and so one file."""
-    plan = shards(docs, key, text, limit).select(F.col(key).alias("key_"), "shard").distinct()
-    rows = docs.join(plan, docs[key].eqNullSafe(plan.key_)).drop("key_")
-    rows.repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """Write `docs` with a folder for each shard; a shard is one task's rows and so one file.
+
+    The rows are stored once with their places, so that each goes into its own shard and no other.
+    """
+    rows = cut(docs.withColumn("place_", F.monotonically_increasing_id()))
+    plan = placed(cut(sizes(rows, key, text, F.col("place_"))), limit).select(F.col("place").alias("place_"), "shard")
+    rows.join(plan, "place_").drop("place_").repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -78,6 +78,21 @@ def test_written_shards_hold_all_rows(spark, docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "x")).count() == docs.where("doc_id < 1000").count()
 
 
+def test_rows_of_one_id_are_split_by_measured_bytes(spark, tmp_path):
+    """Null and repeated ids with long texts: each shard fits or holds one row, says its own size, and is written once."""
+    rng = random.Random(31)
+    rows = [(None, "n" * rng.randint(1, 900) + str(i)) for i in range(60)] + [(7, "x" * 300)] * 30 + [(7, "y" * 5_000)] * 2 + [(i, "z" * 50) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shards(df, limit=1_000).toPandas()
+    assert len(got) == len(rows)
+    for _, g in got.groupby("shard"):
+        assert len(g) == 1 or g["n_bytes"].sum() <= 1_000
+        assert set(g["shard_bytes"]) == {g["n_bytes"].sum()} and set(g["shard_docs"]) == {len(g)}
+    sharding.write_shards(df, str(tmp_path / "x"), limit=1_000)
+    back = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(str(tmp_path / "x"))
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(rows)
+
+
 # ---- 2 quality
 
 
