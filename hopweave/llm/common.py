@@ -47,6 +47,24 @@ def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+#: Copies that one task makes of a row.
+COPIES = 65_536
+
+
+def copies_of(rows: DataFrame, count: str, name: str) -> DataFrame:
+    """Each row `count` times, numbered from 1 on in column `name`; `count` is dropped.
+
+    Runs of over COPIES copies are dealt over the tasks before they are made, so a row that is repeated billions of
+    times is no single task's work.
+    """
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / COPIES)))
+    few = rows.where(F.col(count).between(1, COPIES)).withColumn("run_", F.lit(0).cast("long"))
+    many = rows.where(F.col(count) > COPIES).withColumn("run_", runs).repartition(F.col("run_"), F.col(count))
+    first = F.col("run_") * COPIES
+    own = F.explode(F.sequence(first + 1, F.least(first + COPIES, F.col(count))))
+    return few.unionByName(many).withColumn(name, own).drop("run_", count)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of `edges` reaches.
 

@@ -358,16 +358,43 @@ def test_mixing_meets_targets(docs, rows):
     assert taken.columns == docs.columns
 
 
-def test_pivots_keep_expectations_and_words():
-    size, p = np.array([5.0, 9.0, 2.0, 7.0, 4.0]), np.array([0.3, 0.5, 0.9, 0.2, 0.6])
+def test_pivots_keep_expectations_and_words(spark):
+    size, p = np.array([5, 9, 2, 7, 4]), np.array([0.3, 0.5, 0.9, 0.2, 0.6])
+    rng = random.Random(3)
+    runs = [(k, [(int(size[i]), i, 0, 0, 1, float(p[i]), rng.random()) for i in range(5)]) for k in range(4_000)]
+    df = spark.createDataFrame(runs, f"k int, items array<{mixing.ITEM}>").select(mixing.pivots(F.col("items")).alias("r"))
     total = np.zeros(5)
-    for seed in range(4_000):
-        out, held = mixing.pivot(size, p, np.random.default_rng(seed))
-        assert (out @ size) == pytest.approx(p @ size) and sum(0 < x < 1 for x in out) == (held >= 0)
+    for r in df.select("r.held", "r.done").collect():
+        out = np.zeros(5)
+        for d in r.done:
+            out[d["item"]["key"]] = d["up"]
+        if r.held is not None:
+            assert 0 < r.held.p < 1 and len(r.done) == 4
+            out[r.held.key] = r.held.p
+        assert (out @ size) == pytest.approx(p @ size)
         total += out
     assert total / 4_000 == pytest.approx(p, abs=0.04)
 
 
+def test_mixing_has_no_python_and_no_source_limit(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    df = spark.createDataFrame([(i % 400, "w " * (1 + i % 9), f"s{i % 50}" if i % 51 else None) for i in range(900)], "doc_id long, text string, source string")
+    plan = mixing.mix(df)
+    assert "Python" not in plan._jdf.queryExecution().toString() and "Pandas" not in plan._jdf.queryExecution().toString()
+    got = plan.toPandas()
+    assert len(got) == 900 and got["source"].isna().sum() == 18
+    sizes = got.groupby(got["source"].fillna("~"))["size"].sum().sort_index()
+    want = targets_model(list(sizes), [(5, 2, 1)[i % 3] for i in range(len(sizes))])
+    assert got.groupby(got["source"].fillna("~"))["target"].first().sort_index().tolist() == pytest.approx(want)
+
+
+def test_copies_of_one_row_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(common, "COPIES", 10)
+    df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 10), ("d", 57), ("e", -1)], "k string, n long")
+    got = Counter((r.k, r.i) for r in common.copies_of(df, "n", "i").collect())
+    assert got == Counter([("b", 1)] + [("c", i) for i in range(1, 11)] + [("d", i) for i in range(1, 58)])
+
+
 def test_mixing_over_a_tree(spark, monkeypatch):
     monkeypatch.setattr(mixing, "GROUP", 8)
     monkeypatch.setattr(mixing, "FAN_IN", 3)
