@@ -5,31 +5,44 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 #: A word is a run of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows, so that a batch of very long texts fits in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, so that a batch of very long texts fits in a Python worker.
 
+    The bound is the same for all operators and is only ever lowered, so plans of one session don't disturb each other.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    Only where that setting is missing (local tests) a temporary folder of this machine is used.
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only on a local master, which shares its disk with all tasks."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -65,6 +78,22 @@ def copies_of(rows: DataFrame, count: str, name: str) -> DataFrame:
     return few.unionByName(many).withColumn(name, own).drop("run_", count)
 
 
+def numbered(rows: DataFrame, names: list[str], place: str, name: str) -> DataFrame:
+    """`rows` with a number from 1 on, in column `name`, among the rows that are equal in `names`.
+
+    `place` is a monotonically increasing id. Rows are numbered inside their partition of the input and shifted by
+    those of the partitions before, so a name that a third of all rows have is no single task's work.
+    """
+    rows = rows.withColumn("from_", F.call_function("shiftright", F.col(place), F.lit(33)))
+    inside = F.row_number().over(W.partitionBy(*names, "from_").orderBy(place))
+    before = F.coalesce(F.sum("n_").over(W.partitionBy(*names).orderBy("from_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy(*names, "from_").agg(F.count("*").alias("n_")).withColumn("before_", before)
+    counts = counts.where("before_ > 0").withColumnsRenamed({c: f"{c}__" for c in [*names, "from_"]})
+    same = [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in [*names, "from_"]]
+    out = rows.withColumn("inside_", inside).join(counts, same, "left")
+    return out.withColumn(name, F.col("inside_") + F.coalesce("before_", F.lit(0))).drop("from_", "inside_", "n_", "before_", *(f"{c}__" for c in [*names, "from_"]))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of `edges` reaches.
 

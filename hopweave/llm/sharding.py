@@ -8,15 +8,16 @@ with more bits.
 
 Defined results: null texts have 0 bytes; a document larger than the limit gets a shard of its own (its bucket is
 split until nothing else is in it); a bucket of rows that share all 60 bits, such as rows of one id, is split on by
-the same rule: on 60 bits of a hash of the text, and where these are shared too, of a hash of the place in the input,
-so only which copy of a text lies in which part depends on the input's order; an empty table gives no shards.
+the same rule: on 60 bits of a hash of the text, and where these are shared too, of a hash of the row's number among
+the rows equal in id and text. So shards depend on the rows alone, not on their order or partitions; only which of
+several equal rows has which number is left to the input's order. An empty table gives no shards.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, table
+from .common import copies_of, cut, numbered, table
 
 HASH_BITS, FINE_BITS = 60, 6
 LIMIT = 1_000_000
@@ -60,8 +61,8 @@ def directory(sized: DataFrame, limit: int) -> DataFrame:
         start = fine + 1
 
 
-def placed(sized: DataFrame, limit: int) -> DataFrame:
-    """(key, bytes, place, shard, depth, shard_bytes, shard_docs) of every row of `sized` (key, h, bytes, text_hash, place)."""
+def placed(sized: DataFrame, limit: int, *more: str) -> DataFrame:
+    """(key, bytes, text_hash, nth, shard, depth, shard_bytes, shard_docs) of every row of `sized` (key, h, bytes, text_hash, nth)."""
     out, level = None, 0
     sized = sized.withColumn("base", F.lit(""))
     while True:
@@ -69,25 +70,25 @@ def placed(sized: DataFrame, limit: int) -> DataFrame:
         depths = [r.depth for r in leaves.select("depth").distinct().collect()]  # at most HASH_BITS + 1
         # each document tries the depths that leaves have; exactly one of its prefixes is a leaf
         tries = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), prefix(F.lit(d)).alias("prefix")) for d in sorted(depths)))) if depths else F.explode(F.array(F.struct(F.lit(0).alias("depth"), F.col("h").alias("prefix"))))
-        rows = sized.select("base", "key", "bytes", "text_hash", "place", tries.alias("t")).select("base", "key", "bytes", "text_hash", "place", "t.*")
+        rows = sized.select("base", "key", "bytes", "text_hash", "nth", *more, tries.alias("t")).select("base", "key", "bytes", "text_hash", "nth", *more, "t.*")
         leaves = leaves.select("base", "depth", "prefix", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
         rows = rows.join(leaves, ["base", "depth", "prefix"])
         bits = F.when(F.col("depth") == 0, "").otherwise(F.expr("right(lpad(conv(prefix, 10, 2), 60, '0'), depth)"))
         rows = rows.withColumn("shard", F.concat("base", bits)).withColumn("depth", F.col("depth") + HASH_BITS * level)
         full = (F.col("depth") == HASH_BITS * (level + 1)) & (F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)
-        done = rows.where(~full).select("key", "bytes", "place", "shard", "depth", "shard_bytes", "shard_docs")
+        done = rows.where(~full).select("key", "bytes", "text_hash", "nth", *more, "shard", "depth", "shard_bytes", "shard_docs")
         out = done if out is None else out.unionByName(done)
         if leaves.where((F.col("depth") == HASH_BITS) & (F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)).isEmpty():
             return out
         level += 1
-        h = F.col("text_hash") if level == 1 else F.xxhash64("place", F.lit(level))
-        sized = cut(rows.where(full).select(F.concat("shard", F.lit(".")).alias("base"), "key", "bytes", "text_hash", "place", F.shiftrightunsigned(h, 64 - HASH_BITS).alias("h")))
+        h = F.col("text_hash") if level == 1 else F.xxhash64("text_hash", "nth", F.lit(level))
+        sized = cut(rows.where(full).select(F.concat("shard", F.lit(".")).alias("base"), "key", "bytes", "text_hash", "nth", *more, F.shiftrightunsigned(h, 64 - HASH_BITS).alias("h")))
 
 
-def sizes(docs: DataFrame, key: str, text: str, place) -> DataFrame:
-    """(key, h, bytes, text_hash, place) of every row of `docs`; `place` names a row."""
+def sizes(docs: DataFrame, key: str, text: str, *more) -> DataFrame:
+    """(key, h, bytes, text_hash, ...) of every row of `docs`."""
     n = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    return docs.select(F.col(key).alias("key"), hash_bits(key).alias("h"), n.alias("bytes"), F.xxhash64(text).alias("text_hash"), place.alias("place"))
+    return docs.select(F.col(key).alias("key"), hash_bits(key).alias("h"), n.alias("bytes"), F.xxhash64(text).alias("text_hash"), *more)
 
 
 def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -96,7 +97,9 @@ def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
     `shard` is the bucket's bit string, with a ``.`` after every 60 bits where these don't suffice; its bytes and
     rows are its own.
     """
-    rows = placed(cut(sizes(docs, key, text, F.monotonically_increasing_id())), limit)
+    # equal rows are numbered, whichever of them is which
+    rows = sizes(docs, key, text).groupBy("key", "h", "bytes", "text_hash").agg(F.count("*").alias("n"))
+    rows = placed(cut(copies_of(rows, "n", "nth")), limit)
     return rows.select(F.col("key").alias(key), F.col("bytes").alias("n_bytes"), "shard", "depth", "shard_bytes", "shard_docs")
 
 
@@ -106,7 +109,8 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     The rows are stored once with their places, so that each goes into its own shard and no other.
     """
     rows = cut(docs.withColumn("place_", F.monotonically_increasing_id()))
-    plan = placed(cut(sizes(rows, key, text, F.col("place_"))), limit).select(F.col("place").alias("place_"), "shard")
+    named = numbered(sizes(rows, key, text, "place_"), ["key", "text_hash"], "place_", "nth")
+    plan = placed(cut(named), limit, "place_").select("place_", "shard")
     rows.join(plan, "place_").drop("place_").repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
