@@ -7,7 +7,11 @@ rewritten text, and what they find through a rewritten piece is mapped back to s
 
 Positions are code points, ends exclusive. Base spans always stay; a found span that overlaps base spans of its
 kind is added only where it holds them whole, as when a disguised letter cuts the base span short. Defined results: a null text counts as empty; empty texts have no spans; rows repeat as in the
-input; texts are scanned whole in time linear in their length, except for rewritten places, which are local.
+input; texts are scanned whole in time linear in their length, except for rewritten places, which are local; parts of
+any number of digits are allowed, as the base patterns state. `n_*` and `base_sha256` are of base spans, `spans` of all.
+
+A disguised address has a local part of at most four parts of up to 64 characters, and a host that ends in a listed
+country or common label, or, where its dots or its "at" are unmistakable, in any label that isn't a word of prose.
 """
 
 from __future__ import annotations
@@ -65,7 +69,7 @@ def zoned(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
 
 
 def ips(text: str) -> list[Span]:
-    return [m.span() for m in zoned(IP, text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m.group().split("."))]
+    return [m.span() for m in zoned(IP, text) if all(len(p) < 4 and int(p or "0") < 256 for p in (x.lstrip("0") for x in m.group().split(".")))]
 
 
 def card_ok(s: str) -> bool:
