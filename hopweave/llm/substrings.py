@@ -7,11 +7,16 @@ passage, the last ones too. The spans of all documents are hashed (128 bits over
 more than once all but the first occurrence, by document and place, are repeats. Sentences that a repeat covers are
 removed from the text; everything else stays byte for byte.
 
+A document is named by its id and a hash of its text, so rows of one id with other texts are other documents. Rows equal
+in both are one document for the joins; of these the first row in the input's order counts as first, and all spans of
+the others are repeats.
+
 Half hashes are counted first, combined on the map side, so that only spans whose half occurs twice are stored; those
 meet by their whole hash. All joins are adaptive, so a passage that a third of all documents share is no single task.
-Defined results: null texts stay null; a text of fewer than 16 words has no span and stays; rows with equal ids are
-one document, whose first occurrences all stay; rows with a null id keep their text; extra columns stay in `dedup`'s
-result.
+Defined results: null texts stay null; a text of fewer than 16 words has no span and stays; first occurrences go by id
+(null ids last), by the text's hash and by place; extra columns stay in `dedup`'s result. Sentences end at Latin and CJK
+marks and at line ends; where a script has no spaces each of its characters counts as a word. The input is read
+three times and must be the same each time, as a table or a checkpoint is.
 """
 
 from __future__ import annotations
@@ -26,8 +31,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import cut, small_batches, table
 
 SENTENCES, WORDS = 2, 16
-#: A sentence with the white space after it: up to an end mark before white space, a line's end or the text's end.
-END = re.compile(r"(?:(?<=[.!?…])[\"'”’)\]]*\s+|\n\s*)")
+#: A sentence with the white space after it: up to an end mark (CJK marks need no white space), a line's end or the text's end.
+END = re.compile(r"(?:(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？｡])[\"'”’)\]」』】）]*\s*(?![。！？｡」』】）])|\n\s*)")
+#: Kana, Han and Thai characters.
+UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -42,10 +49,14 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def n_words(words: list[str]) -> int:
+    return len(words) + sum(len(UNSPACED.findall(w)) for w in words if not w.isascii())
+
+
 def spans(text: str, least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int, bytes]]:
     """(first sentence, sentence after the last, hash) of every span."""
     ws = [text[a:b].split() for a, b in sentences(text)]
-    sizes = list(map(len, ws))
+    sizes = list(map(len if text.isascii() else n_words, ws))
     n = len(ws)
     places = {(i, i + 1) for i in range(n) if sizes[i] >= words}
     j, total = 0, 0
@@ -69,30 +80,33 @@ def spans(text: str, least: int = SENTENCES, words: int = WORDS) -> list[tuple[i
     return [(i, j, xxhash.xxh3_128_digest(" ".join(joined[i:j]).encode("utf-8", "surrogatepass"))) for i, j in sorted(places)]
 
 
-def span_table(docs: DataFrame, key: str, text: str, least: int, words: int) -> DataFrame:
-    """(a, b, key, i, j): the two halves of the hash, and where the span is."""
+def span_table(rows: DataFrame, least: int, words: int) -> DataFrame:
+    """(a, b, key, h, i, j) of `rows` (key, h, text): the two halves of the hash, and the document and place of the span."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), k, i, j) for k, t in zip(batch["key"], batch["text"], strict=True) for i, j, h in spans(t, least, words)]
-            yield pd.DataFrame(rows, columns=["a", "b", "key", "i", "j"])
+            found = [(int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), n, i, j) for n, t in enumerate(batch["text"]) for i, j, d in spans(t, least, words)]
+            out = pd.DataFrame(found, columns=["a", "b", "n", "i", "j"]).astype({"n": "int64"})
+            out["key"], out["h"] = batch["key"].take(out["n"]).array, batch["h"].take(out["n"]).array
+            yield out[["a", "b", "key", "h", "i", "j"]]
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInPandas(made, "a long, b long, key long, i int, j int")
+    # keys are strings of digits on the way, as pandas has no long with nulls
+    rows = rows.where("text IS NOT NULL").select(F.col("key").cast("string"), "h", "text")
+    return rows.mapInPandas(made, "a long, b long, key string, h long, i int, j int").withColumn("key", F.col("key").cast("long"))
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """(key, covered): for each document with repeats its covered runs of sentences, as an array of (i, j)."""
-    small_batches(docs.sparkSession)
-    found = span_table(docs, key, text, least, words)
+def repeats(rows: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
+    """(key, h, covered): for each document of `rows` (key, h, text) with repeats its covered runs of sentences, as an array of (i, j)."""
+    found = span_table(rows, least, words)
     # spans are made twice, which costs less than to store all of them
     twice = cut(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     # cut, so that both joins read two plain shuffles and a frequent span's partition can be split
     found = cut(found.join(twice, "a", "left_semi"))
-    first = cut(found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("key", "i")).alias("first")).where("n > 1").select("a", "b", "first"))
-    again = found.join(first, ["a", "b"]).where("key <> first.key OR i <> first.i")
+    place = F.struct(F.col("key").isNull().alias("none"), "key", "h", "i")
+    first = cut(found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("a", "b", "first"))
+    again = found.join(first, ["a", "b"]).where("NOT (key <=> first.key AND h = first.h AND i = first.i)")
     # a document's own sentences bound its array
-    return again.groupBy("key").agg(F.collect_set(F.struct("i", "j")).alias("covered"))
+    return again.groupBy("key", "h").agg(F.collect_set(F.struct("i", "j")).alias("covered"))
 
 
 def without(text: str, covered: list) -> tuple[str, int, int]:
@@ -105,15 +119,27 @@ def without(text: str, covered: list) -> tuple[str, int, int]:
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """`docs` with cleaned texts, and n_sentences, n_removed (0 for null texts)."""
     small_batches(docs.sparkSession)
-    covered = repeats(docs, key, text, least, words).withColumnRenamed("key", "key_")
-    joined = docs.join(covered, docs[key].cast("long") == covered.key_, "left").drop("key_")
+    named = docs.withColumn("key_", F.col(key).cast("long")).withColumn("h_", F.xxhash64(text)).withColumn("place_", F.monotonically_increasing_id())
+    rows = named.select(F.col("key_").alias("key"), F.col("h_").alias("h"), F.col(text).alias("text"), F.col("place_").alias("place"))
+    covered = repeats(rows.drop("place"), least, words).withColumn("first", F.lit(None).cast("long"))
+    # rows that are equal in id and text: the one that comes first in the input stays as it is
+    equal = rows.groupBy("key", "h").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
+    equal = equal.select("key", "h", F.lit(None).cast("array<struct<i:int,j:int>>").alias("covered"), "first")
+    marks = covered.unionByName(equal).groupBy("key", "h").agg(F.max("covered").alias("covered_"), F.max("first").alias("first_"))
+    marks = marks.withColumnsRenamed({"key": "mark_key_", "h": "mark_h_"})
+    joined = named.join(marks, named.key_.eqNullSafe(marks.mark_key_) & (named.h_ == marks.mark_h_), "left").drop("key_", "h_", "mark_key_", "mark_h_")
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
-    def clean(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        rows = [(None, 0, 0) if t is None else without(t, () if r is None else r) for t, r in zip(texts, runs, strict=True)]
-        return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
-
-    out = joined.withColumn("cleaned_", clean(text, "covered")).drop("covered")
+    def clean(texts: pd.Series, runs: pd.Series, copies: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, r, copy in zip(texts, runs, copies, strict=True):
+            if copy and t is not None:
+                r = [{"i": i, "j": j} for i, j, _ in spans(t, least, words)]
+            out.append((None, 0, 0) if t is None else without(t, () if r is None else r))
+        return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
+
+    copy = F.coalesce(F.col("first_") != F.col("place_"), F.lit(False))
+    out = joined.withColumn("cleaned_", clean(text, "covered_", copy)).drop("covered_", "first_", "place_")
     return out.withColumn(text, F.col("cleaned_.text")).withColumn("n_sentences", F.col("cleaned_.n_sentences")).withColumn("n_removed", F.col("cleaned_.n_removed")).drop("cleaned_")
 
 
