@@ -209,7 +209,6 @@ def shard_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
 
 def components(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, component) of the distinct fingerprints of `classes` (fp, ...): the smallest fingerprint reachable."""
-    classes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     parts = connected_components(shard_links(classes.select("fp", F.col("fp").alias("id")), radius))
     return classes.select("fp").join(parts, classes.fp == parts.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
