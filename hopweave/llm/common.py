@@ -94,26 +94,42 @@ def numbered(rows: DataFrame, names: list[str], place: str, name: str) -> DataFr
     return out.withColumn(name, F.col("inside_") + F.coalesce("before_", F.lit(0))).drop("from_", "inside_", "n_", "before_", *(f"{c}__" for c in [*names, "from_"]))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+#: Keys that `meet` broadcasts at most.
+HEAVY = 2_048
+
+
+def meet(rows: DataFrame, column: str, named: DataFrame, key: str, n: int) -> DataFrame:
+    """`rows`, `n` in number, inner-joined with `named` (one row for a key) on column = key; the keys of both are longs.
+
+    Keys that over n / HEAVY rows carry are fewer than HEAVY: their rows of `named` are broadcast, so they make no large
+    task; the others are even enough for a join by shuffle.
+    """
+    heavy = rows.groupBy(F.col(column).alias("heavy_")).agg(F.count("*").alias("n_")).where(F.col("n_") > n // HEAVY).select("heavy_")
+    of = lambda df, c, how: df.join(F.broadcast(heavy), F.col(c) == F.col("heavy_"), how)
+    few = of(rows, column, "left_anti").join(named, F.col(column) == F.col(key))
+    many = rows.join(F.broadcast(of(named, key, "left_semi")), F.col(column) == F.col(key))
+    return few.unionByName(many)
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of `edges` reaches.
 
-    Each round hooks every node onto the smallest label among its neighbours and then follows labels
-    once more (pointer jumping), so the rounds grow with the logarithm of the longest chain. Only
-    min-aggregations (combined on the map side) and equi-joins that adaptive execution may split are
-    used; no group is gathered, and nothing but a count of changed labels comes to the driver.
+    Each round hooks every node onto the smallest label among its neighbours, hands a label's own better label to all
+    nodes that carry it, and then follows labels once more (pointer jumping), so the rounds grow with the logarithm of
+    the longest chain; labels only fall, so it ends. Only min-aggregations (combined on the map side) and joins that
+    broadcast their hubs are used; no group is gathered, and nothing but counts comes to the driver.
     """
     both = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     both = cut(both.union(both.select("v", "u")).distinct())
     labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
-    for _ in range(max_rounds):
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
-        # a label's own better label reaches all nodes that carry it
-        hooked = labels.join(near, labels.node == near.u).select("node", "label", F.least("label", "near").alias("to"))
+    n_edges, n_nodes = both.count(), labels.count()
+    while True:
+        near = meet(both, "v", labels, "node", n_edges).groupBy("u").agg(F.min("label").alias("near"))
+        hooked = cut(labels.join(near, labels.node == near.u).select("node", "label", F.least("label", "near").alias("to")))
         up = hooked.groupBy("label").agg(F.min("to").alias("up")).select(F.col("label").alias("from"), "up")
-        stepped = hooked.join(up, hooked.label == F.col("from")).select("node", F.col("label").alias("old"), F.least("to", "up").alias("to"))
+        stepped = cut(meet(hooked, "label", up, "from", n_nodes).select("node", F.col("label").alias("old"), F.least("to", "up").alias("to")))
         jump = stepped.select(F.col("node").alias("at"), F.col("to").alias("beyond"))
-        following = cut(stepped.join(jump, F.col("to") == F.col("at")).select("node", "old", F.least("to", "beyond").alias("label")))
+        following = cut(meet(stepped, "to", jump, "at", n_nodes).select("node", "old", F.least("to", "beyond").alias("label")))
         labels = following.select("node", "label")
         if following.where("label <> old").isEmpty():
             return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -1,30 +1,35 @@
 """SimHash near-duplicate groups with BK-trees per shard.
 
 Fingerprints: 64 bits, by majority over the XXH64 values (seed 42) of the 4-word shingles of the lower-cased
-text, repeats included. Documents with equal fingerprints form a class at once. The distinct fingerprints are
-dealt into shards by each of radius + 1 blocks of their bits, so two within the radius meet in some shard. In a
-shard a BK-tree (children keyed by their Hamming distance to the parent) is built, and a search follows only the
-edges d - radius .. d + radius. A shard answers with a spanning forest of its links, never with all pairs: at
-most one row for each fingerprint. The forests of all shards are merged by distributed components.
+text, repeats included. Documents with equal fingerprints form a class at once. The bits are cut into radius + spare
+blocks, and each choice of `spare` blocks is a table that deals the distinct fingerprints into shards by those blocks'
+bits; two within the radius agree in at least `spare` blocks, so they meet in some shard. `spare` follows from the
+number of fingerprints, so that an even shard holds few of them and no fingerprint is copied more often than there are
+tables (at most 70). In a shard a BK-tree (children keyed by their Hamming distance to the parent) is built, and a
+search follows only the edges d - radius .. d + radius. Shard and queries are the same rows, so the tree stays in the
+task that builds it; sending all trees to all tasks would send the whole corpus. A shard answers with a spanning forest
+of its links, never with all pairs: at most one row for each fingerprint. The forests are merged by distributed
+components.
 
 A shard of more than SHARD fingerprints is dealt further into parts; every two parts meet in a task of their
 own, so a block value that a third of all fingerprints share is still searched whole, in tasks of bounded size.
 
 Defined results: texts that are null or have no word get fingerprint zero and link like any other; rows with
-equal ids are nodes of one id; a null id is never a class's smallest while another id is in it; an empty table
-gives an empty result.
+equal ids are nodes of one id; classes of null ids link like any other, but a null id is never a component's smallest
+while another id is in it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import connected_components, cut, small_batches, table
+from .common import connected_components, cut, meet, small_batches, table
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints that one tree holds at most.
@@ -158,26 +163,40 @@ def forest(fps: np.ndarray, roots: np.ndarray, ids: np.ndarray, radius: int) ->
     return pd.DataFrame({"a": ids[changed], "b": by_rank[label][changed]})
 
 
-def block_cuts(radius: int) -> list[tuple[int, int]]:
-    n = radius + 1
-    return [(64 * i // n, 64 * (i + 1) // n) for i in range(n)]
+def block_tables(radius: int, n: int, shard: int) -> list[list[tuple[int, int]]]:
+    """The tables of `n` fingerprints: the bit ranges (from, until) whose values deal a table's rows into shards.
+
+    The fewest blocks whose values are enough for even shards of half of `shard`.
+    """
+    for spare in (1, 2, 3, 4):
+        m = radius + spare
+        cuts = [(64 * i // m, 64 * (i + 1) // m) for i in range(m)]
+        if spare == 4 or n <= shard // 2 << sum(b - a for a, b in cuts[:spare]):
+            break
+    return [list(chosen) for chosen in itertools.combinations(cuts, spare)]
 
 
 def shard_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """(a, b): spanning forests of the links between the distinct fingerprints of `classes` (fp, id)."""
-    value = lambda a, b: F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-    blocks = F.array(*(F.struct(F.lit(i).alias("block"), value(a, b).alias("value")) for i, (a, b) in enumerate(block_cuts(radius))))
-    dealt = classes.select("fp", "id", F.explode(blocks).alias("k")).select("fp", "id", "k.*")
-    sizes = dealt.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
-    parts = sizes.select("block", "value", F.ceil(F.col("n") * 2 / shard).cast("int").alias("parts"), F.col("n"))
-    dealt = dealt.join(parts, ["block", "value"])
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    """(a, b): spanning forests of the links between the distinct fingerprints of `classes` (fp, id), which is read twice."""
+    tables = block_tables(radius, classes.count(), shard)
+
+    def bucket(i: int, ranges: list[tuple[int, int]]) -> Column:
+        out = F.lit(i).cast("long")
+        for a, b in ranges:
+            out = F.call_function("shiftleft", out, F.lit(b - a)).bitwiseOR(F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)))
+        return out
+
+    dealt = classes.select("fp", "id", F.explode(F.array(*(bucket(i, t) for i, t in enumerate(tables)))).alias("bucket"))
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    parts = cut(sizes.select(F.col("bucket").alias("of"), F.ceil(F.col("n") * 2 / shard).cast("int").alias("parts"), "n"))
+    dealt = meet(dealt, "bucket", parts, "of", classes.count() * len(tables))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     # part p meets itself and each other one: tasks (p, q) with p <= q, of which own is one
     met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("own")).alias("p"), F.greatest(q, F.col("own")).alias("q")))
     whole = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))
-    dealt = dealt.withColumn("own", own).withColumn("m", F.when(F.col("n") <= shard, whole).otherwise(met))
-    tasks = dealt.select("fp", "id", "block", "value", F.explode("m").alias("m")).select("fp", "id", "block", "value", "m.p", "m.q")
-    keys = ["block", "value", "p", "q"]
+    dealt = dealt.withColumn("m", F.when(F.col("n") <= shard, whole).otherwise(met))
+    tasks = dealt.select("fp", "id", "bucket", F.explode("m").alias("m")).select("fp", "id", "bucket", "m.p", "m.q")
+    keys = ["bucket", "p", "q"]
     tasks = tasks.repartition(*keys).sortWithinPartitions(*keys, "fp")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +228,7 @@ def shard_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
 
 def components(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, component) of the distinct fingerprints of `classes` (fp, ...): the smallest fingerprint reachable."""
-    parts = connected_components(shard_links(classes.select("fp", F.col("fp").alias("id")), radius))
+    parts = connected_components(shard_links(cut(classes.select("fp", F.col("fp").alias("id"))), radius))
     return classes.select("fp").join(parts, classes.fp == parts.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
@@ -219,8 +238,8 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     classes = cut(prints.groupBy("fp").agg(F.min(key).alias("id")))
     parts = cut(classes.join(components(classes, radius), "fp"))
     least = parts.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = parts.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = cut(meet(parts.drop("id"), "component", least.withColumnRenamed("component", "of"), "of", parts.count()).select(F.col("fp").alias("class"), "component_id"))
+    return meet(prints, "fp", named, "class", prints.count()).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -240,7 +259,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
 
     prints = cut(docs.select(*name, print_(text).alias("fp")))
     classes = cut(prints.groupBy("fp").agg(F.min(F.struct(*names)).alias("first")))
-    first = cut(classes.join(components(classes, radius), "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.*"))
+    first = cut(classes.join(components(classes.select("fp"), radius), "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.*"))
     return docs.select(*every, *name).join(first, names, "left_semi").dropDuplicates(names).select(*every)
 
 

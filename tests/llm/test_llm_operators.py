@@ -652,6 +652,19 @@ def test_vantage_points_are_exact(spark, monkeypatch, cells):
     assert len(loose & {(w[0], w[2]) for w in want}) >= 0.9 * len({(w[0], w[2]) for w in want if w[0] % 100 == 0})
 
 
+def test_block_tables_keep_shards_small():
+    """Copies of a fingerprint stay bounded, and an even shard small, however many fingerprints there are."""
+    for n in (10**3, 10**6, 10**7, 10**9, 10**10, 10**12):
+        tables = neardup.block_tables(4, n, 1024)
+        bits = min(sum(b - a for a, b in t) for t in tables)
+        assert len(tables) <= 70 and n / 2**bits <= 1024
+        # every 4 changed bits leave one table alone
+        rng = random.Random(n)
+        for _ in range(200):
+            flipped = rng.sample(range(64), 4)
+            assert any(not any(a <= f < b for f in flipped for a, b in t) for t in tables)
+
+
 def test_query_rows_of_one_id(spark):
     """Two vectors of one query id are answered each, whatever the order of the rows; equal query rows once."""
     rng = np.random.default_rng(3)
