@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -219,7 +220,7 @@ def test_packing_keeps_all_words_and_conflicts(spark, docs, rows):
     texts = {(i, t) for i, t, *_ in rows if i is not None and 1_000 <= i < 1_100}
     copies = got[got["doc_id"].isin([i for i, _ in texts])]
     assert copies["bin_id"].is_unique  # copies never share a bin
-    again = packing.pack(docs, capacity=300, source_limit=3, texts=True).toPandas()
+    again = packing.pack(docs.repartition(7), capacity=300, source_limit=3, texts=True).toPandas()
     columns = ["bin_id", "slot", "n_words", "text"]
     assert sorted(map(tuple, got[columns].values)) == sorted(map(tuple, again[columns].values))
     assert packing.pack(docs.limit(0)).count() == 0
@@ -227,10 +228,10 @@ def test_packing_keeps_all_words_and_conflicts(spark, docs, rows):
 
 def test_best_fit_against_brute_force():
     rng = random.Random(2)
-    pieces = [(rng.randint(1, 60), k, k, 0, f"c{rng.randint(0, 25)}", f"s{rng.randint(0, 3)}") for k in range(150)]
+    pieces = [(rng.randint(1, 60), k, 0, f"c{rng.randint(0, 25)}", f"s{rng.randint(0, 3)}") for k in range(150)]
     bins = []  # (left, clusters, sources)
     want = {}
-    for i in sorted(range(len(pieces)), key=lambda i: (-pieces[i][0], pieces[i][1:4])):
+    for i in sorted(range(len(pieces)), key=lambda i: (-pieces[i][0], pieces[i][1:3])):
         size, *_, cluster, source = pieces[i]
         fits = [(b[0], k) for k, b in enumerate(bins) if b[0] >= size and cluster not in b[1] and b[2][source] < 4]
         k = min(fits)[1] if fits else len(bins)
@@ -244,6 +245,24 @@ def test_best_fit_against_brute_force():
     assert [b for b, _ in got] == [want[i] for i in range(len(pieces))]
 
 
+def test_packing_many_tiny_documents_of_one_source(spark):
+    """Bins are full and found in seconds; partitions don't change a bin."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id")).alias("text"), F.lit("one").alias("source"))
+    began = time.time()
+    got = packing.pack(df).toPandas()
+    assert time.time() - began < 20 and got["n_words"].sum() == 20_000 and got["bin_id"].nunique() <= 12
+    again = packing.pack(df.repartition(7)).toPandas()
+    assert got.set_index("doc_id")["bin_id"].to_dict() == again.set_index("doc_id")["bin_id"].to_dict()
+
+
+@pytest.mark.parametrize("sources", [1, 20])
+def test_packing_fills_bins(spark, sources):
+    rng = random.Random(sources)
+    rows = [(i, " ".join([f"x{i}"] * max(1, int(rng.lognormvariate(4.5, 1.2)))), f"s{i % sources}") for i in range(3_000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert got["n_words"].sum() / (packing.CAPACITY * got["bin_id"].nunique()) > 0.95
+
+
 # ---- 6 personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
