@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .arrays import let, overlap
 from .text import answer_tokens, normalize_answer, strip
 
 # Fixed values that results depend on.
@@ -40,26 +41,26 @@ def post_process(raw: Column, question: Column) -> Column:
     return F.when(F.coalesce(is_yes_no(question), F.lit(False)), F.coalesce(closed, answer)).otherwise(answer)
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """The size of the multiset intersection of two arrays of short texts' tokens."""
-    count = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, t: n + F.least(count(a, t), count(b, t)))
-
-
 def harmonic(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
 
 def answer_scores(prediction: Column, gold: Column) -> Column:
-    """struct<em,f1,prec,recall>; zeros where one side is yes, no or noanswer and the other differs."""
-    p, g = answer_tokens(prediction), answer_tokens(gold)
-    a, b = normalize_answer(prediction), normalize_answer(gold)
-    same = overlap(p, g)
-    closed = (a.isin(*CLOSED_ANSWERS) | b.isin(*CLOSED_ANSWERS)) & (a != b)
-    prec, recall = F.try_divide(same, F.size(p)), F.try_divide(same, F.size(g))
-    some = ~closed & (same > 0)
-    value = lambda x: F.when(some, x).otherwise(0.0).cast("double")
-    return F.struct((a == b).cast("double").alias("em"), value(harmonic(prec, recall)).alias("f1"), value(prec).alias("prec"), value(recall).alias("recall"))
+    """struct<em,f1,prec,recall>; zeros where one side is yes, no or noanswer and the other differs.
+
+    Tokens are taken from each text once and counted in linear time, so long texts may be compared too.
+    """
+
+    def scores(t: Column) -> Column:
+        return let(F.struct(overlap(t["p"], t["g"]).alias("same"), F.size(t["p"]).alias("np"), F.size(t["g"]).alias("ng"), F.array_join(t["p"], " ").alias("a"), F.array_join(t["g"], " ").alias("b")), of)
+
+    def of(n: Column) -> Column:
+        closed = (n["a"].isin(*CLOSED_ANSWERS) | n["b"].isin(*CLOSED_ANSWERS)) & (n["a"] != n["b"])
+        prec, recall = F.try_divide(n["same"], n["np"]), F.try_divide(n["same"], n["ng"])
+        value = lambda x: F.when(~closed & (n["same"] > 0), x).otherwise(0.0).cast("double")
+        return F.struct((n["a"] == n["b"]).cast("double").alias("em"), value(harmonic(prec, recall)).alias("f1"), value(prec).alias("prec"), value(recall).alias("recall"))
+
+    return let(F.struct(answer_tokens(prediction).alias("p"), answer_tokens(gold).alias("g")), scores)
 
 
 def set_scores(prediction: Column, gold: Column) -> Column:

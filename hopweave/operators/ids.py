@@ -7,8 +7,8 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Rows that one task numbers, and the most ranges that they are dealt into.
-RANGE_ROWS, MOST_RANGES = 200_000, 4_096
+#: Rows that one task numbers at most and at least, and the most ranges that they are dealt into.
+RANGE_ROWS, LEAST_ROWS, MOST_RANGES = 200_000, 500, 65_536
 
 
 def dense_index(df: DataFrame, order: Sequence[str], name: str = "pos", start: int = 0) -> DataFrame:
@@ -19,7 +19,8 @@ def dense_index(df: DataFrame, order: Sequence[str], name: str = "pos", start: i
     """
     key = order[0]
     n = df.count()
-    ranges = min(MOST_RANGES, -(-n // RANGE_ROWS))
+    # what follows works on the same partitions, so there are enough of them for all cores
+    ranges = min(MOST_RANGES, max(-(-n // RANGE_ROWS), min(2 * df.sparkSession.sparkContext.defaultParallelism, n // LEAST_ROWS)))
     if ranges <= 1:
         return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long") - 1 + start)
     bounds = sorted(set(df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]))

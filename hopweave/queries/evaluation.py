@@ -13,10 +13,11 @@ from .fixtures import CAPITAL, PAIRS, SCORES, answer_tokens, pairs, table
 
 
 def word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, a, b, c): the capitalized words of a conversation's first three turns."""
-    rows = table(spark, sf_dir, "conversations").where("turn < 3")
-    words = lambda k: F.coalesce(F.max(F.when(F.col("turn") == k, F.array_distinct(capital_tokens(F.col("text"))))), F.array().cast("array<string>"))
-    return rows.groupBy("conv_id").agg(words(0).alias("a"), words(1).alias("b"), words(2).alias("c"))
+    """(conv_id, a, b, c): the capitalized words of a conversation's turns, dealt by the turn's number into three sets."""
+    rows = table(spark, sf_dir, "conversations")
+    one = rows.select("conv_id", (F.col("turn") % 3).alias("part"), F.explode_outer(capital_tokens(F.col("text"))).alias("w"))
+    words = lambda k: F.collect_set(F.when(F.col("part") == k, F.col("w")))
+    return one.groupBy("conv_id").agg(words(0).alias("a"), words(1).alias("b"), words(2).alias("c"))
 
 
 def retrieval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,15 +26,15 @@ def retrieval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sp_joint_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twelve means: each first turn is an answer whose gold is the second turn; supporting facts are its words.
+    """The twelve means: each turn is an answer whose gold is the next turn; supporting facts are the conversation's words.
 
     Every fifth conversation has no answer and every seventh no supporting facts.
     """
     facts = lambda c: F.transform(c, lambda w: F.struct(w.alias("title"), F.length(w).alias("sent_id")))
-    rows = pairs(spark, sf_dir).where("turn = 0").join(word_sets(spark, sf_dir), "conv_id").withColumnRenamed("conv_id", "sample_id")
+    rows = pairs(spark, sf_dir).join(word_sets(spark, sf_dir), "conv_id").withColumn("sample_id", F.concat_ws("-", "conv_id", "turn"))
     gold = rows.select("sample_id", F.col("gold").alias("answer"), facts("b").alias("supporting_facts"))
-    said = rows.where("sample_id % 5 <> 0").select("sample_id", "prediction")
-    support = rows.where("sample_id % 7 <> 0").select("sample_id", facts("a").alias("sp"))
+    said = rows.where("conv_id % 5 <> 0").select("sample_id", "prediction")
+    support = rows.where("conv_id % 7 <> 0").select("sample_id", facts("a").alias("sp"))
     means = evaluation.means(evaluation.official(gold, said, support))
     return means.select(*(F.round(c, 6).alias(c) for c in means.columns))
 
@@ -61,8 +62,8 @@ def run_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run, line, value): a log for each of two sources, made of documents."""
-    docs = table(spark, sf_dir, "documents").where("source IN ('src0', 'src1')").select("doc_id", F.col("source").alias("run"))
+    """(run, line, value): a log for each source, made of its documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("run"))
     d = F.col("doc_id")
     said = F.concat(F.lit("12:00:00 | 🤖 预测: "), F.when(d % 6 == 0, "I don't know. ").otherwise(F.concat(F.lit("text "), d.cast("string"))))
     f1 = F.format_number((d % 5) / 4, 2)
@@ -84,8 +85,8 @@ def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORD_SETS = f"""ws AS (
-  SELECT conv_id, coalesce(max(w) FILTER (turn = 0), []) AS a, coalesce(max(w) FILTER (turn = 1), []) AS b, coalesce(max(w) FILTER (turn = 2), []) AS c
-  FROM (SELECT conv_id, turn, list_distinct({CAPITAL}) AS w FROM conversations WHERE turn < 3) GROUP BY conv_id
+  SELECT conv_id, coalesce(list(DISTINCT w) FILTER (part = 0 AND w IS NOT NULL), []) AS a, coalesce(list(DISTINCT w) FILTER (part = 1 AND w IS NOT NULL), []) AS b, coalesce(list(DISTINCT w) FILTER (part = 2 AND w IS NOT NULL), []) AS c
+  FROM (SELECT conv_id, turn % 3 AS part, unnest(CASE WHEN len({CAPITAL}) = 0 THEN [NULL] ELSE {CAPITAL} END) AS w FROM conversations) GROUP BY conv_id
 ), h AS (
   SELECT conv_id, array_to_string(list_sort(list_intersect(a, b)), ',') AS hit_titles, len(list_intersect(a, b)) >= 1 AS retrieval_hit,
     len(a) > 0 AND len(list_intersect(a, b)) >= least(2, len(a)) AS bridge_hit, len(a) > 0 AND len(list_intersect(a, c)) >= least(2, len(a)) AS path_hit FROM ws
@@ -96,7 +97,7 @@ SCORED = f"WITH {PAIRS}, tok AS (SELECT conv_id, turn, {answer_tokens(SAID)} AS
 
 JOINT = f"""
 WITH {PAIRS}, {WORD_SETS}, tok AS (
-  SELECT p.conv_id, {answer_tokens('prediction')} AS p, {answer_tokens('gold')} AS g, a, b, p.conv_id % 7 <> 0 AS has_sp FROM p JOIN ws USING (conv_id) WHERE turn = 0 AND p.conv_id % 5 <> 0
+  SELECT p.conv_id, {answer_tokens('prediction')} AS p, {answer_tokens('gold')} AS g, a, b, p.conv_id % 7 <> 0 AS has_sp FROM p JOIN ws USING (conv_id) WHERE p.conv_id % 5 <> 0
 ), {SCORES}, q AS (
   SELECT *, CASE WHEN has_sp AND len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0.0 END AS sp_prec, CASE WHEN has_sp AND len(b) > 0 THEN len(list_intersect(a, b)) / len(b) ELSE 0.0 END AS sp_recall,
     CASE WHEN has_sp AND len(list_intersect(a, b)) = len(a) AND len(a) = len(b) THEN 1.0 ELSE 0.0 END AS sp_em FROM scored
@@ -108,7 +109,7 @@ SELECT {', '.join(f"round(coalesce(avg({c}), 0.0), 6) AS {c}" for c in [p + m fo
 
 #: Log lines as text, taken apart by patterns again.
 LOGS = r"""
-WITH d AS (SELECT doc_id, source AS run FROM documents WHERE source IN ('src0', 'src1')
+WITH d AS (SELECT doc_id, source AS run FROM documents
 ), l AS (
   SELECT run, doc_id * 4 + 0 AS line, '12:00:00 | 🤖 预测: ' || CASE WHEN doc_id % 6 = 0 THEN 'I don''t know. ' ELSE 'text ' || doc_id END AS value FROM d
   UNION ALL SELECT run, doc_id * 4 + 1, 'noise | F1=1.00' FROM d

@@ -8,6 +8,7 @@ from hopweave.config import ENTITY_STOPWORDS
 from hopweave.functions.text import capital_tokens
 from hopweave.operators.ids import number_chunks
 from hopweave.operators.mentions import mentions
+from hopweave.sources.lineage import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,17 +38,22 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.col("text").alias("prediction")).join(after, ["conv_id", "turn"])
 
 
-def mentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, pos, words): the capitalized words of each chunk, taken from its text once for all that is made of them."""
+    return cut(chunks(spark, sf_dir).select("chunk_id", "pos", capital_tokens(F.col("text")).alias("words")))
+
+
+def mentioned(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
     """(chunk_id, pos, name, type): names of seven letters, or a multiple, are dates, the others concepts."""
     kind = lambda w: F.when(F.length(w) % 7 == 0, "Date").otherwise("Concept")
-    words = F.transform(capital_tokens(F.col("text")), lambda w: F.struct(w.alias("name"), kind(w).alias("type")))
-    return mentions(chunks(spark, sf_dir).select("chunk_id", "pos", words.alias("entities")))
+    words = tokens(spark, sf_dir) if words is None else words
+    return mentions(words.select("chunk_id", "pos", F.transform("words", lambda w: F.struct(w.alias("name"), kind(w).alias("type"))).alias("entities")))
 
 
-def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def relations(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
     """(source, target, type, source_chunk): a chunk's first capitalized word and its second, where they differ."""
-    w = capital_tokens(F.col("text"))
-    rows = chunks(spark, sf_dir).select(F.lower(F.get(w, F.lit(0))).alias("source"), F.lower(F.get(w, F.lit(1))).alias("target"), F.lit("FOLLOWED_BY").alias("type"), F.col("chunk_id").alias("source_chunk"))
+    words = tokens(spark, sf_dir) if words is None else words
+    rows = words.select(F.lower(F.get("words", F.lit(0))).alias("source"), F.lower(F.get("words", F.lit(1))).alias("target"), F.lit("FOLLOWED_BY").alias("type"), F.col("chunk_id").alias("source_chunk"))
     return rows.where("source <> target")
 
 

@@ -8,6 +8,7 @@ from hopweave.config import Config
 from hopweave.functions.text import capital_tokens
 from hopweave.operators import edges, ids, knn, mentions, summaries
 from hopweave.sources.documents import merge_cache
+from hopweave.sources.lineage import cut
 
 from . import fixtures as fx
 from .fixtures import CAPITAL, CHUNKS, MENTIONS, RELATIONS, SIMILAR, TURNS, VECTORS
@@ -66,11 +67,12 @@ def last_write_wins_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relation_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations of the first 60% of chunks, then those of the last 60% merged in, with the names that only they have."""
-    rels = fx.relations(spark, sf_dir)
-    n = fx.table(spark, sf_dir, "documents").count()
+    words = fx.tokens(spark, sf_dir)
+    rels = cut(fx.relations(spark, sf_dir, words))
+    n = words.count()
     at = F.substring("source_chunk", 7, 20).cast("long")
     merged = edges.upsert(rels.where(at < 0.6 * n), rels.where(at >= 0.4 * n), ["source", "target", "type", "source_chunk"])
-    nodes = mentions.entity_nodes(fx.mentioned(spark, sf_dir).where("name > 'm'"), merged)
+    nodes = mentions.entity_nodes(fx.mentioned(spark, sf_dir, words).where("name > 'm'"), merged)
     return merged.groupBy("source", "target", "type").agg(F.count("*").alias("chunks")).join(nodes.select(F.col("name").alias("source"), F.col("type").alias("source_type")), "source")
 
 
@@ -138,7 +140,8 @@ def doc_cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many entities, mentions, relations and chunks there are."""
-    m, r = fx.mentioned(spark, sf_dir), fx.relations(spark, sf_dir)
+    words = fx.tokens(spark, sf_dir)
+    m, r = fx.mentioned(spark, sf_dir, words), fx.relations(spark, sf_dir, words)
     out = m.agg(F.countDistinct("name").alias("entities"), F.count("*").alias("mentions"), F.countDistinct("chunk_id").alias("chunks"))
     return out.crossJoin(r.agg(F.count("*").alias("relations")))  # two single rows
 

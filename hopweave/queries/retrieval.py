@@ -51,10 +51,10 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary_drill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions about every tenth conversation find its second-level summary and then the next one's first level."""
+    """Questions about every conversation find its second-level summary and then the next one's first level."""
     from .graphs import summary_edges
 
-    convs = fx.table(spark, sf_dir, "conversations").select("conv_id").distinct().where("conv_id % 10 = 0")
+    convs = fx.table(spark, sf_dir, "conversations").select("conv_id").distinct()
     own = F.concat(F.lit("summary_l2_conv_"), F.col("conv_id").cast("string"))
     after = lambda k: F.concat(F.lit("summary_l1_conv_"), (F.col("conv_id") + 1).cast("string"), F.lit(f"_{k}"))
     hits = convs.select(F.col("conv_id").alias("qid"), F.posexplode(F.array(own, after(1), after(0))).alias("i", "id")).select("qid", (F.col("i") + 1).alias("rank"), "id")
@@ -68,16 +68,17 @@ def summary_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, chunk_id): every hundredth chunk as a question of its own."""
-    return fx.chunks(spark, sf_dir).where("pos % 100 = 0").select(F.col("pos").alias("qid"), "chunk_id")
+    """(qid, chunk_id): every fiftieth chunk as a question of its own."""
+    return fx.chunks(spark, sf_dir).where("pos % 50 = 0").select(F.col("pos").alias("qid"), "chunk_id")
 
 
 def co_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions.co_mentions(frontier(spark, sf_dir), fx.mentioned(spark, sf_dir), CAP)
+    return mentions.co_mentions(frontier(spark, sf_dir), cut(fx.mentioned(spark, sf_dir)), CAP)
 
 
 def relation_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions.co_mentions(frontier(spark, sf_dir), fx.mentioned(spark, sf_dir), CAP, fx.relations(spark, sf_dir))
+    words = fx.tokens(spark, sf_dir)
+    return mentions.co_mentions(frontier(spark, sf_dir), cut(fx.mentioned(spark, sf_dir, words)), CAP, fx.relations(spark, sf_dir, words))
 
 
 def query_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,27 +88,28 @@ def query_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_entity_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.linked_chunks(query_entities(spark, sf_dir), fx.mentioned(spark, sf_dir), LINK_CAP).select("entity", "id")
+    return linking.linked_chunks(query_entities(spark, sf_dir), cut(fx.mentioned(spark, sf_dir)), LINK_CAP).select("entity", "id")
 
 
 def ppr_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = query_entities(spark, sf_dir).groupBy("qid").agg(F.collect_list("entity").alias("entities"))
-    return linking.rank_seeds(entities, fx.mentioned(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
+    return linking.rank_seeds(entities, cut(fx.mentioned(spark, sf_dir))).withColumn("weight", F.round("weight", 9))
 
 
 def graph_tables(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
     """What an expansion reads: vectors' neighbours stand for those of the chunks at their numbers."""
-    chunks, m = fx.chunks(spark, sf_dir), fx.mentioned(spark, sf_dir)
+    chunks, words = cut(fx.chunks(spark, sf_dir)), fx.tokens(spark, sf_dir)
+    m = cut(fx.mentioned(spark, sf_dir, words))
     near = related(spark, sf_dir).select(chunk_id(F.col("src")).alias("src"), chunk_id(F.col("dst")).alias("dst"), "score")
-    return SimpleNamespace(chunks=chunks, mentions=m, relations=fx.relations(spark, sf_dir), next=next_edges(chunks), related=near, bridge=mentions.bridge_edges(mentions.occurrences(m)))
+    return SimpleNamespace(chunks=chunks, mentions=m, relations=cut(fx.relations(spark, sf_dir, words)), next=next_edges(chunks), related=near, bridge=cut(mentions.bridge_edges(mentions.occurrences(m))))
 
 
 def expand_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One step out from every hundredth chunk, whose next chunk has been visited; its entity is the chunk's first word."""
+    """One step out from every fiftieth chunk, whose next chunk has been visited; its entity is the chunk's first word."""
     graph, front = graph_tables(spark, sf_dir), frontier(spark, sf_dir)
     seen = front.select("qid", F.col("chunk_id").alias("id")).unionByName(front.select("qid", chunk_id(F.col("qid") + 1).alias("id")))
     first = F.lower(F.substring(F.get(capital_tokens(F.col("text")), F.lit(0)), 1, 6))
-    entities = graph.chunks.where("pos % 100 = 0").select(F.col("pos").alias("qid"), first.alias("entity")).where("entity IS NOT NULL")
+    entities = graph.chunks.where("pos % 50 = 0").select(F.col("pos").alias("qid"), first.alias("entity")).where("entity IS NOT NULL")
     config = Config(neighbour_cap=CAP, bridge_cap=BRIDGE_CAP, query_entity_cap=LINK_CAP, related_read_score=READ_AT)
     near = neighbours.Neighbourhood.of(graph, config, entities.select("entity").distinct(), 2)
     return neighbours.expand(front, seen, near, entities).select("qid", "id", "label")
@@ -121,11 +123,11 @@ def walk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def walk_seeds(nodes: DataFrame) -> DataFrame:
-    return nodes.where("id % 100 = 0").select(F.col("id").alias("qid"), "id", F.lit(1.0).alias("weight"))
+    return nodes.where("id % 50 = 0").select(F.col("id").alias("qid"), "id", F.lit(1.0).alias("weight"))
 
 
 def ppr_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three steps from an even start for every hundredth vector."""
+    """Three steps from an even start for every fiftieth vector."""
     nodes, edges = walk(spark, sf_dir)
     edges, seeds = cut(edges), walk_seeds(nodes)
     n = nodes.count()
@@ -196,7 +198,7 @@ def capped(name: str, sql: str, cap: int, part: str = "qid") -> str:
 
 
 EXPAND = f"""
-WITH {MENTIONS}, {RELATIONS}, {VECTORS}, f AS (SELECT pos AS qid, chunk_id FROM c WHERE pos % 100 = 0
+WITH {MENTIONS}, {RELATIONS}, {VECTORS}, f AS (SELECT pos AS qid, chunk_id FROM c WHERE pos % 50 = 0
 ), seen AS (SELECT qid, chunk_id AS id FROM f UNION SELECT qid, 'chunk_' || (qid + 1) FROM f
 ), k AS (SELECT a.id AS src, b.id AS dst, {SIMILAR} AS score FROM v a JOIN v b ON a.id <> b.id
 ), rel AS (SELECT 'chunk_' || src AS src, 'chunk_' || dst AS dst, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM k) WHERE r <= 3 AND score >= 0.2 AND src < dst
@@ -208,7 +210,7 @@ WITH {MENTIONS}, {RELATIONS}, {VECTORS}, f AS (SELECT pos AS qid, chunk_id FROM
   FROM band JOIN o x USING (name) JOIN o y ON x.name = y.name AND x.chunk_id <> y.chunk_id
 ), q AS (SELECT name, n, least(a, b) AS src, greatest(a, b) AS dst, min(k * 10 + r) AS spot FROM p WHERE n <= 20 OR r <= 5 GROUP BY ALL
 ), br AS (SELECT DISTINCT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY spot) AS z FROM q) WHERE n <= 20 OR z <= 50
-), ent AS (SELECT pos AS qid, lower(substr(({CAPITAL})[1], 1, 6)) AS entity FROM c WHERE pos % 100 = 0 AND len({CAPITAL}) > 0
+), ent AS (SELECT pos AS qid, lower(substr(({CAPITAL})[1], 1, 6)) AS entity FROM c WHERE pos % 50 = 0 AND len({CAPITAL}) > 0
 ), {', '.join(capped(label, sql, CAP) for label, sql in LABELS)},
 {capped('EntBridge', 'SELECT f.qid, CASE WHEN src = chunk_id THEN dst ELSE src END AS id FROM f JOIN br ON chunk_id IN (src, dst)', BRIDGE_CAP)},
 {capped('QueryEnt', 'SELECT ent.qid, m.chunk_id AS id FROM ent JOIN m ON contains(m.name, entity) OR contains(entity, m.name)', LINK_CAP)}
@@ -216,14 +218,14 @@ WITH {MENTIONS}, {RELATIONS}, {VECTORS}, f AS (SELECT pos AS qid, chunk_id FROM
 SELECT qid, id, arg_min(label, spot) AS label FROM every GROUP BY qid, id
 """
 
-FRONTIER = f"{MENTIONS}, f AS (SELECT pos AS qid, chunk_id FROM c WHERE pos % 100 = 0)"
+FRONTIER = f"{MENTIONS}, f AS (SELECT pos AS qid, chunk_id FROM c WHERE pos % 50 = 0)"
 FIRST = "SELECT qid, chunk_id, id FROM (SELECT *, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY id) AS k FROM p) WHERE k <= 15"
 SEARCHED = f"{VECTORS}, d AS (SELECT a.id AS qid, b.id AS id, b.type, {SIMILAR} AS score FROM v a JOIN v b ON true WHERE a.id % 50 = 0)"
 ENTITIES = f"e AS (SELECT DISTINCT item_id AS qid, lower(substr(unnest({CAPITAL}), 1, 6)) AS entity FROM benchmark)"
 DRILL = f"""
 WITH {TURNS}, g AS (SELECT DISTINCT title, turn % 2 AS k FROM t
 ), l2 AS (SELECT title FROM g GROUP BY title HAVING count(*) > 1
-), q AS (SELECT DISTINCT conv_id AS qid FROM conversations WHERE conv_id % 10 = 0
+), q AS (SELECT DISTINCT conv_id AS qid FROM conversations
 ), x AS (
   SELECT qid, 1 AS spot, 'summary_l2_conv_' || qid AS summary, 'summary_l1_conv_' || qid || '_' || (turn % 2) AS via, chunk_id AS id FROM q JOIN t ON t.conv_id = qid WHERE title IN (SELECT title FROM l2)
   UNION ALL SELECT qid, CASE turn % 2 WHEN 1 THEN 2 ELSE 3 END, 'summary_l1_conv_' || (qid + 1) || '_' || (turn % 2), '', chunk_id FROM q JOIN t ON t.conv_id = qid + 1
@@ -237,7 +239,7 @@ WITH {VECTORS}, n AS (SELECT count(*) AS n FROM v
 ), one AS (SELECT a.id AS src, b.id AS dst FROM v a JOIN v b ON b.id = a.id + 1 UNION SELECT src, dst FROM rel
 ), e AS (SELECT src, dst FROM one UNION SELECT dst, src FROM one
 ), w AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS share FROM e
-), s AS (SELECT id AS qid FROM v WHERE id % 100 = 0
+), s AS (SELECT id AS qid FROM v WHERE id % 50 = 0
 ), x0 AS (SELECT qid, v.id, 1.0::DOUBLE / n AS x FROM s, v, n
 ), {', '.join(f"x{i} AS (SELECT qid, id, sum(y) AS x FROM (SELECT qid, dst AS id, 0.85 * x * share AS y FROM x{i - 1} JOIN w ON src = id UNION ALL SELECT qid, qid, 0.15 FROM s) GROUP BY qid, id)" for i in (1, 2, 3))}
 SELECT qid, id, round(x, 9) AS x FROM x3
