@@ -19,10 +19,11 @@ its rows need; there may be any number of sources; an empty table gives an empty
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hopweave.functions.arrays import let
 from hopweave.operators.ids import dense_index
 
 from .common import copies_of, cut, n_words, table
@@ -62,11 +63,6 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
     return ranked.select("source", "source_rows", "source_size", F.least(share, most * F.col("source_size")).alias("target"))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 ITEM = "struct<size:long,key:long,text_hash:long,other_hash:long,nth:long,p:double,draw:double>"
 DONE = "struct<item:" + ITEM + ",up:boolean>"
 

@@ -56,7 +56,7 @@ def n_words(words: list[str]) -> int:
 def spans(text: str, least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int, bytes]]:
     """(first sentence, sentence after the last, hash) of every span."""
     ws = [text[a:b].split() for a, b in sentences(text)]
-    sizes = list(map(len if text.isascii() else n_words, ws))
+    sizes = list(map(n_words if UNSPACED.search(text) else len, ws))
     n = len(ws)
     places = {(i, i + 1) for i in range(n) if sizes[i] >= words}
     j, total = 0, 0
