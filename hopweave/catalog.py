@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopweave.queries import evaluation, graphs, retrieval, texts
+from hopweave.queries import evaluation, graphs, inputs, retrieval, steps, texts
 
-ALL = texts.QUERIES | graphs.QUERIES | retrieval.QUERIES | evaluation.QUERIES
+ALL = texts.QUERIES | graphs.QUERIES | retrieval.QUERIES | evaluation.QUERIES | inputs.QUERIES | steps.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

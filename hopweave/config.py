@@ -8,14 +8,12 @@ from dataclasses import dataclass, fields, replace
 # Fixed values that results depend on.
 ENTITY_LABELS = ("Person", "Organization", "Location", "Event", "Product", "Concept", "Work", "Facility", "Date", "Award", "Technology", "Sport", "Animal")
 BRIDGE_LABELS = tuple(x for x in ENTITY_LABELS if x != "Date")
-ENTITY_STOPWORDS = tuple(
-    """
-    year month day date time century decade week hour minute second period era age
-    city country world place area region state town village district province county zone territory
-    man woman person people group company team member individual individuals organization institution
-    life history part end beginning work series type kind name number way thing fact case point example
-    system method process result effect cause
-    """.split()
+ENTITY_STOPWORDS = (
+    "year", "month", "day", "date", "time", "century", "decade", "week", "hour", "minute", "second", "period", "era", "age", "city", "country",
+    "world", "place", "area", "region", "state", "town", "village", "district", "province", "county", "zone", "territory", "man", "woman", "person",
+    "people", "group", "company", "team", "member", "individual", "individuals", "organization", "institution", "life", "history", "part", "end",
+    "beginning", "work", "series", "type", "kind", "name", "number", "way", "thing", "fact", "case", "point", "example", "system", "method",
+    "process", "result", "effect", "cause",
 )
 
 
@@ -42,6 +40,11 @@ class Config:
     # summaries
     cluster_size: int = 3
     max_clusters: int = 5
+    # summaries by a model: texts of so many characters are asked about, up to so many of them; what stays after an error
+    summary_least: int = 500
+    summary_chars: int = 2000
+    summary_error_chars: int = 200
+    summary_echo: int = 0
     # expansion
     neighbour_cap: int = 15
     bridge_cap: int = 10
@@ -64,6 +67,11 @@ class Config:
     # models
     batch_size: int = 16
 
+    @classmethod
+    def in_memory(cls, **changes) -> Config:
+        """The variant whose short summaries are the texts themselves and whose model sees longer ones."""
+        return replace(cls(summary_chars=4000, summary_error_chars=300, summary_echo=1), **changes)
+
     @classmethod
     def from_env(cls, **changes) -> Config:
         found = {f.name: type(f.default)(os.environ[n]) for f in fields(cls) if (n := f"HOPWEAVE_{f.name.upper()}") in os.environ}

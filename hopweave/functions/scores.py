@@ -41,6 +41,11 @@ def trust(rerank: Column, ppr: Column, text: Column, entities: Column, depth: Co
     return F.when(ppr.isNull(), plain).otherwise(ranked)
 
 
+def keeps(score: Column, small: Column, n_selected: Column, threshold: float, least: int) -> Column:
+    """Whether a popped chunk is evidence: by its score, and in a small space as long as there is little."""
+    return (score >= threshold) | (small & (F.coalesce(n_selected, F.lit(0)) < least))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, in double precision and in the order of the components; null for a zero vector."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)

@@ -55,6 +55,40 @@ def right(c: Column, n: int) -> Column:
     return F.right(c, F.lit(n))
 
 
+def flat(c: Column) -> Column:
+    return F.replace(c, F.lit("\n"), F.lit(" "))
+
+
+def context_query(question: Column, context: Column) -> Column:
+    """What neighbours are ranked against: the question with the end of its context."""
+    return F.concat(question, F.lit(" [Context: "), flat(right(context, 1000)), F.lit("]"))
+
+
+def hybrid_query(question: Column, context: Column) -> Column:
+    """What supplements are searched by: the question with the beginning of its context."""
+    return F.concat_ws(" ", question, strip(flat(left(context, 500))))
+
+
+def cache_key(query: Column, text: Column) -> Column:
+    """The name of a reranked pair by the beginnings of both texts, for callers that keep scores between runs.
+
+    The search itself ranks each pair (question, chunk) once, by their ids, so that texts with equal beginnings differ.
+    """
+    return F.concat(left(query, 100), F.lit("|||"), left(text, 100))
+
+
+def start_step(title: Column) -> Column:
+    return F.concat(F.lit("Start -> '"), title, F.lit("'"))
+
+
+def path_step(title: Column, jump: Column) -> Column:
+    return F.concat(F.when(jump, "-> [VectorJump] '").otherwise("-> '"), title, F.lit("'"))
+
+
+def block(title: Column, text: Column) -> Column:
+    return F.concat(F.lit("["), title, F.lit("] "), text)
+
+
 def summarize(text: Column, hint: Column) -> Column:
     """``[hint] `` and the first sentences of a text, or its first 300 characters; empty for an empty text.
 

@@ -7,8 +7,8 @@ inference into `mapInPandas` and need only the method named here.
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass, field
+from hashlib import md5
 from typing import Protocol
 
 import numpy as np
@@ -40,7 +40,8 @@ class Reranker(Protocol):
 
 
 class Summarizer(Protocol):
-    def summarize(self, df: DataFrame, text: str = "text", hint: str = "hint", out: str = "summary") -> DataFrame: ...
+    def summarize(self, df: DataFrame, text: str = "text", hint: str = "hint", out: str = "summary") -> DataFrame:
+        """`df` with a reply, null where there was an error."""
 
 
 class AnswerGenerator(Protocol):
@@ -60,7 +61,7 @@ def hashed(text: str | None, dim: int) -> np.ndarray:
     """Signed counts of the hashed words, of length one; an even vector for a text without words."""
     x = np.zeros(dim)
     for w in TOKEN.findall((text or "").lower()):
-        h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+        h = int.from_bytes(md5(w.encode("utf-8", "surrogatepass")).digest()[:4], "big")
         x[h % dim] += 1 if h >> 31 else -1
     if not x.any():
         x[:] = 1

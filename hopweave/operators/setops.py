@@ -32,3 +32,14 @@ def min_max(df: DataFrame, key: str, value: str) -> DataFrame:
 def within_filter(rows: DataFrame, doc_filter: DataFrame, key: str = "qid", id_: str = "id") -> DataFrame:
     """Rows whose id is in their question's filter (`doc_filter`: key, chunk_id)."""
     return rows.join(doc_filter.select(key, F.col("chunk_id").alias(id_)).distinct(), [key, id_], "left_semi")
+
+
+def doc_titles(rows: DataFrame, chunks: DataFrame, id_: str = "id") -> DataFrame:
+    """`rows` with doc_title, their chunk's title; empty where there is no such chunk. `chunks`: (chunk_id, title)."""
+    known = chunks.select(F.col("chunk_id").alias(id_), F.col("title").alias("doc_title"))
+    return rows.join(known, id_, "left").withColumn("doc_title", F.coalesce("doc_title", F.lit("")))
+
+
+def in_batches(rows: DataFrame, size: int, place: str = "pos") -> DataFrame:
+    """`rows` with batch, the number of their run of `size` places; a plan takes all batches at once."""
+    return rows.withColumn("batch", F.floor(F.col(place) / size).cast("long"))

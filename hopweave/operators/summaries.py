@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from hopweave.config import Config
-from hopweave.functions.text import summarize
+from hopweave.functions.text import block, flat, left, strip, summarize
 from hopweave.sources.lineage import cut
 
 DEFAULT = Config()
@@ -113,14 +113,36 @@ def cluster_texts(chunks: DataFrame, clustered: DataFrame) -> DataFrame:
     return rows.groupBy("title", "cluster").agg(F.count("*").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t")).select("title", "cluster", "n_chunks", F.array_join("t.text", " ").alias("text"))
 
 
-def summary_tree(chunks: DataFrame, clustered: DataFrame) -> tuple[DataFrame, DataFrame]:
+def generated(rows: DataFrame, summarizer, config: Config = DEFAULT) -> DataFrame:
+    """`rows` (text, hint, ...) with summary: long texts by the model, which gets their beginning, others by rule.
+
+    A null reply is an error: the text's own beginning stands in. With `summary_echo` short texts are their own
+    summaries. Empty texts have empty ones.
+    """
+    text, hint = F.col("text"), F.col("hint")
+    clean = strip(flat(text))
+    body, short = (clean, F.when(text == "", "").otherwise(block(hint, clean))) if config.summary_echo else (text, summarize(text, hint))
+    long_ = F.coalesce(F.length(text) >= config.summary_least, F.lit(False))
+    told = summarizer.summarize(rows.where(long_).withColumn("head_", left(text, config.summary_chars)), "head_", "hint", "reply_")
+    failed = F.concat(left(body, config.summary_error_chars), F.lit("..."))
+    told = told.withColumn("summary", block(hint, F.coalesce("reply_", failed))).drop("head_", "reply_")
+    return told.unionByName(rows.where(~long_).withColumn("summary", F.coalesce(short, F.lit(""))))
+
+
+def summary_tree(chunks: DataFrame, clustered: DataFrame, summarizer=None, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """((id, text, level, title), (source, target, type)): first-level summaries, and a second level over more than one."""
     title, cluster = F.col("title"), F.col("cluster").cast("string")
+
+    def written(rows: DataFrame) -> DataFrame:
+        if summarizer is None:
+            return rows.withColumn("text", summarize(F.col("text"), F.col("hint"))).drop("hint")
+        return cut(generated(rows, summarizer, config).withColumn("text", F.col("summary")).drop("summary", "hint"))
+
     l1_id = F.concat(F.lit("summary_l1_"), title, F.lit("_"), cluster)
-    first = cluster_texts(chunks, clustered).select(l1_id.alias("id"), summarize(F.col("text"), title).alias("text"), F.lit(1).alias("level"), "title", "cluster")
+    first = written(cluster_texts(chunks, clustered).select(l1_id.alias("id"), "text", title.alias("hint"), F.lit(1).alias("level"), "title", "cluster"))
     l2_id = F.concat(F.lit("summary_l2_"), title)
     over = first.groupBy("title").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("cluster", "text", "id"))).alias("c")).where("n > 1")
-    second = over.select(l2_id.alias("id"), summarize(F.array_join("c.text", "\n"), F.concat(F.lit("Overall summary for "), title)).alias("text"), F.lit(2).alias("level"), "title")
+    second = written(over.select(l2_id.alias("id"), F.array_join("c.text", "\n").alias("text"), F.concat(F.lit("Overall summary for "), title).alias("hint"), F.lit(2).alias("level"), "title"))
     nodes = first.drop("cluster").unionByName(second)
     to_chunks = clustered.select(l1_id.alias("source"), F.col("chunk_id").alias("target"), F.lit("CONTAINS_CHUNK").alias("type"))
     to_first = over.select(l2_id.alias("source"), F.explode("c.id").alias("target"), F.lit("CONTAINS_SUMMARY").alias("type"))

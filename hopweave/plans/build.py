@@ -43,9 +43,7 @@ def build(docs: DataFrame, order: Sequence[str] = ("doc_id",), models: Models |
     rows = cut(extracted(chunks, models, config))
     mentioned = cut(mentions(rows, config=config))
     clustered = cut(clusters(rows, config))
-    summaries, edges = summary_tree(rows, clustered)
-    if models.summarizer is not None:
-        summaries = models.summarizer.summarize(summaries.withColumn("hint", F.col("title"))).drop("text", "hint").withColumnRenamed("summary", "text").select("id", "text", "level", "title")
+    summaries, edges = summary_tree(rows, clustered, models.summarizer, config)
     summaries = cut(summaries)
     edges = with_ends(edges, summaries.select("id"), summaries.select("id").union(chunks.select("chunk_id")))
     chunk_of = lambda p: F.concat(F.lit("chunk_"), F.col(p).cast("string"))

@@ -13,15 +13,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from hopweave.config import Config
-from hopweave.functions.scores import trust
-from hopweave.functions.text import left, right, strip
+from hopweave.functions.scores import keeps, trust
+from hopweave.functions.text import block, context_query, hybrid_query, path_step, start_step
 from hopweave.models import Models
 from hopweave.operators import vectors as vector_ops
 from hopweave.operators.linking import rank_seeds
 from hopweave.operators.mentions import mentions
 from hopweave.operators.neighbours import PRECEDENCE, Neighbourhood, expand
 from hopweave.operators.pagerank import Ranks, co_mention_edges, ranks, walk_edges
-from hopweave.operators.setops import top, within_filter
+from hopweave.operators.setops import doc_titles, top, within_filter
 from hopweave.sources.lineage import cut
 
 from .graph import KnowledgeGraph
@@ -53,6 +53,51 @@ def with_mode(questions: DataFrame, doc_filter: DataFrame | None, config: Config
     return sized.withColumn("mode", mode)
 
 
+def small_space(questions: DataFrame, doc_filter: DataFrame, chunks: DataFrame) -> DataFrame:
+    """All chunks (qid, id, text, doc_title) of the filters of questions in mode A; chunks without text are left out."""
+    ids = doc_filter.join(questions.where("mode = 'A'").select("qid"), "qid", "left_semi").select("qid", F.col("chunk_id").alias("id")).distinct()
+    return ids.join(chunks.select(F.col("chunk_id").alias("id"), "text", F.col("title").alias("doc_title")), "id").where("text <> ''").select("qid", "id", "text", "doc_title")
+
+
+def opened_summaries(hits: DataFrame, edges: DataFrame) -> DataFrame:
+    """(qid, at, id) of vector hits (qid, rank, id, type): chunks as they are, summaries by their children.
+
+    A summary that came in as a better hit's child isn't opened again.
+    """
+    place = lambda child: F.struct(F.lit(1).alias("part"), "rank", child.alias("child")).alias("at")
+    summaries = hits.where("type = 'summary'")
+    above = summaries.select("qid", F.col("rank").alias("above"), F.col("id").alias("source")).join(edges, "source").select("qid", F.col("target").alias("id"), "above")
+    opened = summaries.join(above.groupBy("qid", "id").agg(F.min("above").alias("above")), ["qid", "id"], "left").where("above IS NULL OR above > rank")
+    below = opened.select("qid", "rank", F.col("id").alias("source")).join(edges, "source")
+    return hits.where("type = 'chunk'").select("qid", place(F.lit("")), "id").unionByName(below.select("qid", place(F.col("target")), F.col("target").alias("id")))
+
+
+def merged_seeds(drilled: DataFrame, found: DataFrame) -> DataFrame:
+    """(qid, at, id, source): drilled chunks, which may repeat, and then found ones, once each, that aren't among them."""
+    new = found.groupBy("qid", "id").agg(F.min("at").alias("at")).join(drilled.select("qid", "id"), ["qid", "id"], "left_anti")
+    return drilled.withColumn("source", F.lit("SummaryDrill")).select("qid", "at", "id", "source").unionByName(new.withColumn("source", F.lit("Doc")).select("qid", "at", "id", "source"))
+
+
+def with_few(kept: DataFrame, neighbours: DataFrame, least: int) -> DataFrame:
+    """The rows of `kept` (qid, ...) whose question has fewer than `least` neighbours (qid, ...)."""
+    counts = neighbours.groupBy("qid").agg(F.count("*").alias("n_"))
+    return kept.join(counts, "qid", "left").where(F.coalesce("n_", F.lit(0)) < least).drop("n_")
+
+
+def first_candidates(jumps: DataFrame, near: DataFrame, beam: int) -> DataFrame:
+    """(qid, id, source, at, new): vector hits (qid, rank, id), then neighbours (qid, id, label, precedence), cut unscored to 3 x beam."""
+    rows = jumps.select("qid", "id", F.lit("VectorJump").alias("source"), F.struct(F.lit(-1).alias("precedence"), F.col("rank").alias("place"), F.lit("").alias("name")).alias("at"))
+    rows = rows.unionByName(near.select("qid", "id", F.col("label").alias("source"), F.struct(F.col("precedence"), F.lit(0).alias("place"), F.col("id").alias("name")).alias("at")))
+    return top(rows, ["qid"], [F.asc("at")], 3 * beam, "new")
+
+
+def raw_documents(lost: DataFrame, doc_filter: DataFrame, chunks: DataFrame, reranker, beam: int) -> DataFrame:
+    """(qid, step, id, title, text, rerank): the best chunks of the filters of questions (qid, question) by rerank score alone."""
+    ids = doc_filter.join(lost.select("qid", F.col("question").alias("query")), "qid").select("qid", "query", F.col("chunk_id").alias("id")).distinct()
+    rows = ids.join(chunks.select(F.col("chunk_id").alias("id"), "title", "text"), "id")
+    return top(reranker.score(rows), ["qid"], [F.desc("rerank"), F.asc("id")], beam, "step").select("qid", "step", "id", "title", "text", "rerank")
+
+
 @dataclass
 class Search:
     graph: KnowledgeGraph
@@ -93,8 +138,7 @@ class Search:
 
     def small_space(self) -> DataFrame:
         """All chunks of a small filter."""
-        ids = self.doc_filter.join(self.questions.where("mode = 'A'").select("qid"), "qid", "left_semi").select("qid", F.col("chunk_id").alias("id")).distinct()
-        rows = ids.join(self.graph.chunks.select(F.col("chunk_id").alias("id"), "text", F.col("title").alias("doc_title")), "id").where("text <> ''")
+        rows = small_space(self.questions, self.doc_filter, self.graph.chunks)
         return rows.select("qid", F.struct(F.lit(0).alias("part"), F.lit(0).alias("rank"), F.col("id").alias("child")).alias("at"), "id", "text", F.col("doc_title").alias("title"), F.lit("Doc").alias("source"), "doc_title")
 
     def drilled(self, mode: str, k: int) -> DataFrame:
@@ -112,24 +156,14 @@ class Search:
         beam = self.config.beam_width
         drilled = cut(self.drilled(mode, beam * (2 if mode == "B" else 1)))
         hits = cut(self.by_vector(mode, beam * (3 if mode == "B" else 2)))
-        place = lambda child: F.struct(F.lit(1).alias("part"), "rank", child.alias("child")).alias("at")
         if mode == "B":
-            found = hits.select("qid", place(F.lit("")), "id")
+            found = hits.select("qid", F.struct(F.lit(1).alias("part"), "rank", F.lit("").alias("child")).alias("at"), "id")
         else:
-            summaries = hits.where("type = 'summary'")
-            edges = self.graph.summary_edges
-            # a summary that came in as a better hit's child isn't opened again
-            above = summaries.select("qid", F.col("rank").alias("above"), F.col("id").alias("source")).join(edges, "source").select("qid", F.col("target").alias("id"), "above")
-            opened = summaries.join(above.groupBy("qid", "id").agg(F.min("above").alias("above")), ["qid", "id"], "left").where("above IS NULL OR above > rank")
-            below = opened.select("qid", "rank", F.col("id").alias("source")).join(edges, "source")
-            found = hits.where("type = 'chunk'").select("qid", place(F.lit("")), "id").unionByName(below.select("qid", place(F.col("target")), F.col("target").alias("id")))
-        new = found.groupBy("qid", "id").agg(F.min("at").alias("at")).join(drilled.select("qid", "id"), ["qid", "id"], "left_anti")
-        both = drilled.withColumn("source", F.lit("SummaryDrill")).unionByName(new.withColumn("source", F.lit("Doc")).select("qid", "at", "id", "source"))
+            found = opened_summaries(hits, self.graph.summary_edges)
+        both = merged_seeds(drilled, found)
         if mode == "B":
             both = self.allowed(both)
-        chunks = self.graph.chunks.select(F.col("chunk_id").alias("id"), F.col("title").alias("doc_title"))
-        texts = self.graph.vectors.select("id", "text")
-        rows = both.join(texts, "id").join(chunks, "id", "left").withColumn("doc_title", F.coalesce("doc_title", F.lit("")))
+        rows = doc_titles(both.join(self.graph.vectors.select("id", "text"), "id"), self.graph.chunks)
         title = F.when(F.col("source") == "SummaryDrill", "SummaryDrill").otherwise(F.col("doc_title"))
         return rows.select("qid", "at", "id", "text", title.alias("title"), "source", "doc_title")
 
@@ -143,18 +177,16 @@ class Search:
         frontier = top(scored, ["qid"], [F.desc("score"), F.asc("at")], most, "ord")
         titles = F.when(F.col("doc_title") != "", F.array("doc_title")).otherwise(F.array().cast("array<string>"))
         return frontier.select(
-            "qid", "ord", "id", "title", "source", "doc_title", "text", F.array(F.concat(F.lit("Start -> '"), "title", F.lit("'"))).alias("path"),
-            F.concat(F.lit("["), "title", F.lit("] "), "text").alias("context"), "depth", titles.alias("path_titles"), "score",
+            "qid", "ord", "id", "title", "source", "doc_title", "text", F.array(start_step(F.col("title"))).alias("path"),
+            block(F.col("title"), F.col("text")).alias("context"), "depth", titles.alias("path_titles"), "score",
         )
 
     # ---- a round
 
     def supplements(self, kept: DataFrame, neighbours: DataFrame, visited: DataFrame) -> DataFrame:
         """(qid, id, label, precedence) from a vector search with the context, for questions with few neighbours."""
-        counts = neighbours.groupBy("qid").agg(F.count("*").alias("n"))
-        few = kept.join(counts, "qid", "left").where(F.coalesce("n", F.lit(0)) < self.config.hybrid_below)
-        snippet = strip(F.replace(left(F.col("context"), 500), F.lit("\n"), F.lit(" ")))
-        asked = few.join(self.questions.select("qid", "question"), "qid").select("qid", F.concat_ws(" ", "question", snippet).alias("query"))
+        few = with_few(kept, neighbours, self.config.hybrid_below)
+        asked = few.join(self.questions.select("qid", "question"), "qid").select("qid", hybrid_query(F.col("question"), F.col("context")).alias("query"))
         found = vector_ops.hybrid(self.models.embedder.embed(asked, "query"), self.graph.vectors, visited, self.config.hybrid_k)
         return found.select("qid", "id", F.lit("Doc").alias("label"), (F.lit(len(PRECEDENCE)) + F.col("rank")).alias("precedence"))
 
@@ -164,13 +196,11 @@ class Search:
         near = cut(expand(kept.select("qid", F.col("id").alias("chunk_id")), visited, self.near, self.entities))
         more = self.supplements(kept, near, visited).join(near.select("qid", "id"), ["qid", "id"], "left_anti")
         near = cut(near.unionByName(more))
-        flat = F.replace(right(F.col("context"), 1000), F.lit("\n"), F.lit(" "))
         asked = kept.join(near.select("qid").distinct(), "qid", "left_semi").join(self.questions.select("qid", "question"), "qid")
-        asked = cut(self.models.embedder.embed(asked.withColumn("query", F.concat(F.col("question"), F.lit(" [Context: "), flat, F.lit("]"))), "query"))
+        asked = cut(self.models.embedder.embed(asked.withColumn("query", context_query(F.col("question"), F.col("context"))), "query"))
         jumps = vector_ops.search(asked, self.graph.vectors, beam).join(visited.select("qid", "id"), ["qid", "id"], "left_anti")
-        rows = jumps.select("qid", "id", F.lit("VectorJump").alias("source"), F.struct(F.lit(-1).alias("precedence"), F.col("rank").alias("place"), F.lit("").alias("name")).alias("at"))
-        rows = rows.unionByName(near.select("qid", "id", F.col("label").alias("source"), F.struct(F.col("precedence"), F.lit(0).alias("place"), F.col("id").alias("name")).alias("at")))
-        rows = top(self.allowed(rows), ["qid"], [F.asc("at")], 3 * beam, "new")
+        allowed = lambda df: self.allowed(df) if self.doc_filter is not None else df
+        rows = first_candidates(allowed(jumps), allowed(near), beam)
         meta = self.graph.vectors.select("id", "text", F.col("title").alias("meta_title"))
         cached = self.graph.chunks.select(F.col("chunk_id").alias("id"), F.col("title").alias("cached_title"))
         rows = rows.join(meta, "id").join(cached, "id", "left")
@@ -178,11 +208,11 @@ class Search:
         doc_title = F.coalesce(F.when(F.col("cached_title") != "", F.col("cached_title")), F.when(jump, F.col("meta_title")), F.lit(""))
         title = F.when(F.col("source") == "Doc", F.col("meta_title")).otherwise(F.col("source"))
         shown = F.when(jump, F.col("meta_title")).otherwise(title)
-        step = F.concat(F.when(jump, "-> [VectorJump] '").otherwise("-> '"), shown, F.lit("'"))
+        step = path_step(shown, jump)
         come = asked.select("qid", "query", "path", "context", "path_titles", (F.col("depth") + 1).alias("depth"))
         rows = rows.select("qid", "id", "new", "source", "text", doc_title.alias("doc_title"), title.alias("title"), shown.alias("shown"), step.alias("step")).join(come, "qid")
         titles = F.when(F.col("doc_title") != "", F.concat("path_titles", F.array("doc_title"))).otherwise(F.col("path_titles"))
-        return rows.withColumn("path", F.concat("path", F.array("step"))).withColumn("context", F.concat("context", F.lit("\n["), "shown", F.lit("] "), "text")).withColumn("path_titles", titles)
+        return rows.withColumn("path", F.concat("path", F.array("step"))).withColumn("context", F.concat_ws("\n", "context", block(F.col("shown"), F.col("text")))).withColumn("path_titles", titles)
 
     def round(self, frontier: DataFrame, visited: DataFrame, selected: DataFrame, step: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         first = frontier.groupBy("qid").agg(F.min("ord").alias("ord"))
@@ -193,7 +223,7 @@ class Search:
         known = selected.groupBy("qid").agg(F.count("*").alias("n_selected"))
         small = self.questions.select("qid", (F.col("mode") == "A").alias("small"))
         tested = fresh.join(small, "qid").join(known, "qid", "left")
-        keep = (F.col("score") >= self.config.trust_threshold) | (F.col("small") & (F.coalesce("n_selected", F.lit(0)) < self.config.min_keep))
+        keep = keeps(F.col("score"), F.col("small"), F.col("n_selected"), self.config.trust_threshold, self.config.min_keep)
         kept = cut(tested.where(keep).select(*STATE))
         selected = cut(selected.unionByName(kept.withColumn("step", F.lit(step))))
         new = cut(self.scored(self.candidates(kept, visited)))
@@ -208,9 +238,7 @@ class Search:
     def fallback(self, started: DataFrame, selected: DataFrame) -> DataFrame:
         """Evidence for questions that started, found nothing and have a small filter: its best chunks by rerank score."""
         lost = self.questions.where("n_filter > 0 AND mode = 'A'").join(started, "qid", "left_semi").join(selected.select("qid"), "qid", "left_anti")
-        ids = self.doc_filter.join(lost.select("qid", F.col("question").alias("query")), "qid").select("qid", "query", F.col("chunk_id").alias("id")).distinct()
-        rows = ids.join(self.graph.chunks.select(F.col("chunk_id").alias("id"), "title", "text"), "id")
-        best = top(self.models.reranker.score(rows), ["qid"], [F.desc("rerank"), F.asc("id")], self.config.beam_width, "step")
+        best = raw_documents(lost, self.doc_filter, self.graph.chunks, self.models.reranker, self.config.beam_width)
         return best.select("qid", "step", "id", "title", F.lit("").alias("doc_title"), "text", F.col("rerank").alias("score"), F.lit(0).alias("depth"), F.array(F.lit("Fallback (Raw Doc)")).alias("path"), F.array().cast("array<string>").alias("path_titles"))
 
     def run(self) -> DataFrame:

@@ -54,6 +54,17 @@ def filters(mapping: DataFrame) -> DataFrame:
     return mapping.select(F.col("sample_id").alias("qid"), "chunk_id").distinct()
 
 
+def write_mappings(docs: DataFrame, mapping: DataFrame, path: str) -> None:
+    """The title of each chunk, and the chunks of each sample, as tables that an evaluation reads again."""
+    docs.select("title", "chunk_id").write.mode("overwrite").parquet(f"{path}/title_to_chunk")
+    mapping.write.mode("overwrite").parquet(f"{path}/sample_chunks")
+
+
+def read_mappings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """((title, chunk_id), (sample_id, ctx_pos, chunk_id))."""
+    return spark.read.parquet(f"{path}/title_to_chunk"), spark.read.parquet(f"{path}/sample_chunks")
+
+
 def write_results(records: DataFrame, path: str) -> None:
     """One JSON line for each record; what was there goes."""
     records.write.mode("overwrite").json(path)

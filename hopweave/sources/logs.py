@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+import os
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 # Fixed formats of the log lines.
@@ -11,6 +15,19 @@ FILTER_LINE = r"📋 doc_filter: (\d+) 个文档"
 IDK_MARKS = ("idk", "⚪")
 
 
+def experiment_log(folder: str, name: str = "hopweave") -> logging.Logger:
+    """A logger of the driver that writes to the console and to a file of its own, named by the time."""
+    os.makedirs(folder, exist_ok=True)
+    logger = logging.getLogger(f"{name}.{time.time_ns()}")
+    logger.setLevel(logging.INFO)
+    logger.propagate = False
+    form = logging.Formatter("%(asctime)s | %(message)s", "%H:%M:%S")
+    for handler in (logging.StreamHandler(), logging.FileHandler(f"{folder}/{name}_{time.strftime('%Y%m%d_%H%M%S')}.log", encoding="utf-8")):
+        handler.setFormatter(form)
+        logger.addHandler(handler)
+    return logger
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(run, line, value): the lines of the logs at `path` in order, a file for a run; files are split between tasks."""
     # a file's splits are read in any order, so a line's place is its split's place and then its own

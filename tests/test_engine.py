@@ -122,3 +122,25 @@ def test_stream_ingest(spark, tmp_path):
     graph = KnowledgeGraph.load(spark, current(spark, path))
     assert {(r.title, r.chunk_id, r.text) for r in graph.chunks.collect()} == {("A", "chunk_0", "Arden lies here."), ("B", "chunk_1", "Borio is near Arden."), ("C", "chunk_2", "Celt has Borio.")}
     assert graph.mentions.where(F.col("name") == "borio").count() == 2
+
+
+def test_experiment_log(spark, tmp_path):
+    """The logger's file is read again as a run's log."""
+    logger = logs.experiment_log(str(tmp_path / "runs"), "run")
+    for line in ("🤖 预测: Arden", "📊 指标: F1=0.50 | P=0.50 | R=0.50 | ❌ MISS (耗时: 2.00s)"):
+        logger.info(line)
+    for handler in logger.handlers:
+        handler.flush()
+    parsed = logs.parse(logs.read_log(spark, str(tmp_path / "runs"))).collect()
+    assert [(r.prediction, r.f1, r.seconds) for r in parsed] == [("Arden", 0.5, 2.0)]
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from hopweave.sources.lineage import shared_folder
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(session("spark://a", "hdfs://x")) == "hdfs://x" and shared_folder(session("local[2]", None))
+    with pytest.raises(ValueError, match="shared"):
+        shared_folder(session("yarn", None))
