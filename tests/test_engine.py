@@ -142,5 +142,5 @@ def test_no_local_folder_on_a_cluster():
 
     session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: folder), sparkContext=SimpleNamespace(master=master))
     assert shared_folder(session("spark://a", "hdfs://x")) == "hdfs://x" and shared_folder(session("local[2]", None))
-    with pytest.raises(ValueError, match="shared"):
+    with pytest.raises(ValueError, match="executors share"):
         shared_folder(session("yarn", None))
