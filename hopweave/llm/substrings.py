@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -31,8 +32,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import cut, small_batches, table
 
 SENTENCES, WORDS = 2, 16
-#: A sentence with the white space after it: up to an end mark (CJK marks need no white space), a line's end or the text's end.
-END = re.compile(r"(?:(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？｡])[\"'”’)\]」』】）]*\s*(?![。！？｡」』】）])|\n\s*)")
+#: A sentence ends after a mark and white space or at a line's end; CJK marks need no white space.
+END = re.compile(r"[.!?…][\"'”’)\]]*\s+|\n\s*")
+WIDE_MARK = re.compile("[。！？｡]")
+WIDE_END = re.compile(r"[.!?…][\"'”’)\]]*\s+|[。！？｡][。！？｡\"'”’)\]」』】）]*\s*|\n\s*")
 #: Kana, Han and Thai characters.
 UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
 
@@ -40,7 +43,7 @@ UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf9
 def sentences(text: str) -> list[tuple[int, int]]:
     """Spans that cover the text; white space belongs to the sentence before it."""
     out, at = [], 0
-    for m in END.finditer(text):
+    for m in (WIDE_END if WIDE_MARK.search(text) else END).finditer(text):
         if m.end() > at:
             out.append((at, m.end()))
             at = m.end()
@@ -85,14 +88,17 @@ def span_table(rows: DataFrame, least: int, words: int) -> DataFrame:
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), n, i, j) for n, t in enumerate(batch["text"]) for i, j, d in spans(t, least, words)]
-            out = pd.DataFrame(found, columns=["a", "b", "n", "i", "j"]).astype({"n": "int64"})
-            out["key"], out["h"] = batch["key"].take(out["n"]).array, batch["h"].take(out["n"]).array
-            yield out[["a", "b", "key", "h", "i", "j"]]
-
-    # keys are strings of digits on the way, as pandas has no long with nulls
-    rows = rows.where("text IS NOT NULL").select(F.col("key").cast("string"), "h", "text")
-    return rows.mapInPandas(made, "a long, b long, key string, h long, i int, j int").withColumn("key", F.col("key").cast("long"))
+            found = [spans(t, least, words) for t in batch["text"]]
+            of = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            halves = np.frombuffer(b"".join(d for f in found for _, _, d in f), np.int64).reshape(-1, 2)
+            at = np.fromiter((x for f in found for i, j, _ in f for x in (i, j)), np.int32).reshape(-1, 2)
+            column = lambda c: batch[c].to_numpy()[of]
+            yield pd.DataFrame({"a": halves[:, 0], "b": halves[:, 1], "none": column("none"), "key": column("key"), "h": column("h"), "i": at[:, 0], "j": at[:, 1]})
+
+    # a null id is a flag on the way, as pandas has no long with nulls
+    rows = rows.where("text IS NOT NULL").select(F.col("key").isNull().alias("none"), F.coalesce("key", F.lit(0).cast("long")).alias("key"), "h", "text")
+    made_ = rows.mapInPandas(made, "a long, b long, none boolean, key long, h long, i int, j int")
+    return made_.withColumn("key", F.when(~F.col("none"), F.col("key"))).drop("none")
 
 
 def repeats(rows: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
