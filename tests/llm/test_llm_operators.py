@@ -126,12 +126,79 @@ def test_quality_defined_results(spark, docs):
     empty = got[got["doc_id"].isin([3_000, 3_001, 3_002])]
     assert (empty["score"] == 0).all() and not empty["good"].any()
     kept = quality.keep_good(docs, labels)
-    assert kept.columns == docs.columns and kept.where("doc_id IS NULL").count() == 1
+    good = got[got["good"]]
+    assert kept.columns == docs.columns and kept.count() == len(good) and kept.where("doc_id IS NULL").count() == good["doc_id"].isna().sum()
     one_class = quality.score(docs, labels.where("quality = 1")).toPandas()
     assert (one_class.set_index("doc_id").loc[[3_003, 3_004], "score"] == 1).all()
     assert quality.score(docs.limit(0), labels).count() == 0
 
 
+def two_views(spark, n=1_200):
+    """Documents whose words and whose source both tell their quality, most of the time; a sixth has labels."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(n):
+        good = rng.random() < 0.7
+        told, sourced = (good if rng.random() < 0.97 else not good for _ in range(2))
+        words = [rng.choice(["river", "stone", "garden", "letter"] if told else ["buy", "cheap", "click", "now"]) if rng.random() < 0.5 else f"w{rng.randint(0, 300)}" for _ in range(rng.randint(8, 20))]
+        rows.append((i, " ".join(words), "en", "press" if sourced else "spam", 100))
+        if i % 6 == 0 or i > n - 200:
+            labels.append((i, int(good)))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_views_exchange_labels(spark):
+    """Each view learns from labels that the other one gave, and tells the classes apart by itself."""
+    docs, labels = two_views(spark)
+    rows = quality.features(docs, labels, "doc_id", "text", "quality")
+    alone, taught = quality.train(rows, rounds=0), quality.train(rows)
+    assert alone.history == [] and {view for _, view, n0, n1, stays in taught.history if n0 + n1 > 0 and stays}
+    for view in ("text", "meta"):
+        gave = [(n0, n1) for _, v, n0, n1, _ in taught.history if v == view]
+        assert max(a + b for a, b in gave) > 10
+    assert any(not np.allclose(getattr(alone, v), getattr(taught, v)) for v in ("text", "meta"))
+    got = quality.score(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
+    for column in ("text_score", "meta_score", "score"):
+        assert ((got[column] > 0.5) == (got["quality"] == 1)).mean() > 0.85, column
+    # the words that tell quality are no shapes: without them the text view knows little
+    assert np.abs(taught.text[quality.TEXT_SHAPES :]).max() > 0.1
+
+
+def test_learning_pass_against_direct_sums(spark):
+    docs, labels = two_views(spark, 500)
+    rows = quality.features(docs, labels, "doc_id", "text", "quality")
+    model = quality.train(rows, rounds=0)
+    limits = quality.sure(rows, model)
+    got = quality.learning_pass(rows, model, limits)
+    b = rows.where("y IS NULL AND words").toPandas()
+    z = dict(zip(("text", "meta"), model.views(b), strict=True))
+    assert limits["text", 1] >= np.quantile(z["text"], 0.93) and limits["meta", 0] <= np.quantile(z["meta"], 0.5)
+    for view, other, x in (("text", "meta", model.texts(b)), ("meta", "text", quality.meta_matrix(b))):
+        for c in (0, 1):
+            held = z[other] >= limits[other, 1] if c else z[other] <= limits[other, 0]
+            slope, n = got[view, c]
+            p = 1 / (1 + np.exp(-(x[held] @ getattr(model, view))))
+            assert n == held.sum() and slope == pytest.approx(x[held].T @ (c - p), abs=1e-2)
+
+
+def test_word_counts_against_a_loop():
+    def model(text):
+        words, half = text.lower().split(), quality.TEXT_WORDS // 2
+        mask = (1 << 64) - 1
+        spread = lambda x: (((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & mask) >> 40
+        power, powers = 1, []
+        for _ in range(1024):
+            power = power * 0x9E3779B97F4A7C15 & mask
+            powers.append(power)
+        h = [sum((ord(c) + 1) * powers[i % 1024] for i, c in enumerate(w)) & mask for w in words]
+        pairs = [(a * 0xC2B2AE3D27D4EB4F + b) & mask for a, b in zip(h, h[1:])]
+        counts = Counter(spread(x) % half for x in h) + Counter(half + spread(x) % half for x in pairs)
+        return bytes(min(255, round(quality.COUNT_STEPS * math.log1p(counts[i]))) for i in range(quality.TEXT_WORDS))
+
+    for t in ("a", " one two  one\ttwo\n", "naïve É 😀 " * 30, "x" * 3_000 + " y", "w " * 5_000):
+        assert quality.word_counts(t) == model(t)
+
+
 # ---- 3 url filters
 
 
