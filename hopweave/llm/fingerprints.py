@@ -6,8 +6,14 @@ sum is positive. Votes are counted in packed lanes: four 16-bit counters to a lo
 terms at a time (the top lane of 32,768 would overflow a long), so a document of any length is summed up in bounded
 state and on the map side.
 
-Defined results: null and empty texts have the all-zero fingerprint; equal texts have equal fingerprints;
-rows with equal ids are ordered by their text; null ids come first; extra columns are ignored.
+The order of the documents is found on narrow rows (id, text hash, place): one global sort, whose ranges may split even
+the rows of one id, and the ends of its partitions joined to each other. Each text is then dealt once by its place, and
+of the document that is next to another only the beginning that the other takes. `describe` also searches: documents of
+a stated query set meet all fingerprints in the block tables.
+
+Defined results: null and empty texts have the all-zero fingerprint; equal texts have equal fingerprints; rows with
+equal ids are ordered by a hash of their text; null ids come first; extra columns are ignored. The input is read twice
+and must be the same each time, as a table or a checkpoint is.
 """
 
 from __future__ import annotations
@@ -16,13 +22,14 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import table, words
+from .common import cut, meet, table, words
 
 WORDS = 5
 BITS = 128
 LANES, CHUNK = 16, 16_384
 LANE_MASK = 0x0001_0001_0001_0001
-MOST_BUCKETS, CHARS_A_BUCKET = 16_384, 64_000_000
+#: The search of `describe`: its Hamming radius, and every so manieth id as a query.
+RADIUS, ASKED = 3, 50
 
 
 def terms(text: str, n: int = WORDS) -> Column:
@@ -73,50 +80,30 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - sum((F.bit_count(part(a, i).bitwiseXOR(part(b, i))) for i in range(BITS // 32)), F.lit(0)) / F.lit(float(BITS))
 
 
-def id_ranges(df: DataFrame, key: str, chars: str) -> tuple[list, Column, Column]:
-    """(bounds, bucket, borders): ids up to bounds[0] are in bucket 0, further ones up to bounds[1] in bucket 1 and so on.
-
-    The bounds are ids of the table, found by one sketch of bounded size; at most MOST_BUCKETS of them come to
-    the driver. `borders` is true for the largest id of each bucket.
-    """
-    size = df.agg(F.count(key).alias("n"), F.sum(chars).alias("chars"), F.max(key).alias("last")).first()
-    if not size["n"]:
-        return [], F.lit(0), F.lit(True)
-    n = min(MOST_BUCKETS, max(256, int((size["chars"] or 0) // CHARS_A_BUCKET)))
-    bounds = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0]
-    bounds = sorted({*bounds, size["last"]})
-    step = max(1, round(len(bounds) ** 0.5))
-    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    longs = lambda xs: F.array(*map(F.lit, xs)).cast("array<bigint>")
-    id_ = F.coalesce(F.col(key), F.lit(bounds[0] if bounds[0] is None else -(2**63)))
-    # two short searches: the block first, then the place in it
-    block = F.size(F.filter(longs([b[-1] for b in blocks]), lambda b: b < id_))
-    inside = F.get(F.array(*map(longs, blocks)), block)
-    bucket = block * step + F.size(F.filter(inside, lambda b: b < id_))
-    return bounds, bucket, F.array_contains(inside, id_)
-
-
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(bucket, place, carrier, key, text, next): each row with the text of the row before it in id order; the first gets the last's.
-
-    Texts are dealt once, by ranges of ids of even size. The last rows of a range also go to the next one
-    as carriers, so every range finds its neighbours alone and no window spans the table.
-    """
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds, bucket, border = id_ranges(docs.withColumn("chars_", F.length("text")), "key", "chars_")
-    n = max(1, len(bounds))
-    docs = docs.withColumn("own", bucket.cast("int")).withColumn("border", border)
-    targets = F.when(F.col("border"), F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("carrier")), F.struct(((F.col("own") + 1) % n).alias("bucket"), F.lit(True).alias("carrier"))))
-    targets = targets.otherwise(F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("carrier"))))
-    dealt = docs.select("key", "text", F.explode(targets).alias("to")).select("to.bucket", "to.carrier", "key", "text")
-    order = W.partitionBy("bucket").orderBy(F.desc("carrier"), F.asc_nulls_first("key"), "text")
-    return dealt.withColumn("next", F.lag("text").over(order)).withColumn("place", F.row_number().over(order))
-
-
-def edited(text: Column, other: Column) -> Column:
-    """The last third of the text replaced by as much of the other's beginning."""
-    m = F.floor(F.length(text) / 3).cast("int")
-    return F.concat(F.substring(text, F.lit(1), F.length(text) - m), F.substring(other, F.lit(1), m))
+def successors(placed: DataFrame) -> DataFrame:
+    """(place, next_place, n_chars) of `placed` (place, key, text): the row before each in ascending order; the first one gets the last."""
+    order = ["key", "h", "place"]
+    narrow = placed.select("place", "key", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n_chars"))
+    # a partition of the sort holds a range, and its number says which
+    ranged = cut(narrow.orderBy(F.asc_nulls_first("key"), "h", "place").withColumn("part", F.spark_partition_id()))
+    inside = F.lag("place").over(W.partitionBy("part").orderBy(F.asc_nulls_first("key"), "h", "place"))
+    last = F.max_by("place", F.struct(*order)).alias("last")
+    # one row for a partition: the last row of the one before, and of the last one for the first
+    ends = ranged.groupBy("part").agg(last).withColumn("before", F.lag("last").over(W.orderBy("part")))
+    ends = ends.select("part", F.coalesce("before", F.lit(ranged.agg(last).first()["last"])).cast("long").alias("border"))
+    return ranged.withColumn("inside", inside).join(F.broadcast(ends), "part").select("place", F.coalesce("inside", "border").alias("next_place"), "n_chars")
+
+
+def edited_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((place, key, n_chars, text, edited), (place, next_place)): each text, and it with its last third replaced by the next one's beginning."""
+    placed = docs.select(F.monotonically_increasing_id().alias("place"), F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    links = cut(successors(placed))
+    third = F.floor(F.col("n_chars") / 3).cast("int")
+    wanted = links.select(F.col("next_place").alias("place"), F.col("place").alias("to_place"), third.alias("m"))
+    sent = placed.join(wanted, "place").select(F.col("to_place").alias("place"), F.substring("text", F.lit(1), F.col("m")).alias("begin"), "m")
+    rows = placed.join(sent, "place")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("m")), "begin")
+    return rows.select("place", "key", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited")), links.select("place", "next_place")
 
 
 def fingerprint_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,45 +115,69 @@ def fingerprint_table(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def describe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = with_next(docs, key, text)
-    made = rows.withColumn("edited", F.when(~F.col("carrier"), edited(F.col("text"), F.col("next"))))
-    made = made.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2("edited", 256))
-    row = ["bucket", "place", "key", "carrier", "n_chars", "edited_sha256"]
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
+    rows, links = edited_rows(docs, key, text)
+    row = ["place", "key", "n_chars", "edited_sha256"]
+    made = rows.withColumn("edited_sha256", F.sha2("edited", 256))
     both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
     # a text without words gets a term of its own here, and the zero fingerprint below, so that its row isn't lost
-    texts = made.select(*row, F.explode(both).alias("b")).where("b.t IS NOT NULL")
+    texts = made.select(*row, F.explode(both).alias("b"))
     blank = F.trim(F.translate("b.t", "\t\n\x0b\f\r", "     ")) == ""
     texts = texts.select(*row, F.col("b.kind").alias("kind"), blank.alias("blank"), F.when(blank, "-").otherwise(F.col("b.t")).alias("t"))
     found = votes(texts, [*row, "kind", "blank"], "t")
     zero = F.when(F.col("blank"), F.lit("0" * 32)).otherwise(F.col("fingerprint"))
     pairs = found.groupBy(*row).agg(F.max(F.when(F.col("kind") == 0, zero)).alias("fingerprint"), F.max(F.when(F.col("kind") == 1, zero)).alias("edited_fingerprint"))
-    last = F.lag("fingerprint").over(W.partitionBy("bucket").orderBy("place"))
-    return pairs.withColumn("next_fingerprint", last).where("NOT carrier").select(
+    pairs = cut(pairs)
+    after = links.join(pairs.select(F.col("place").alias("next_place"), F.col("fingerprint").alias("next_fingerprint")), "next_place")
+    return pairs.join(after, "place").select(
         F.col("key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
 
 
-def search(queries: DataFrame, corpus: DataFrame, radius: int = 3, spare: int = 1, key: str = "doc_id") -> DataFrame:
-    """(query, query_fingerprint, found_fingerprint, distance): all fingerprints within `radius` bits of each query's.
+def with_neighbours(described: DataFrame, radius: int = RADIUS, asked: int = ASKED, key: str = "doc_id") -> DataFrame:
+    """`described` (key, fingerprint, ...) with n_near: how many other documents a query's fingerprint is near to, null for rows that are none.
+
+    Queries are the rows whose id is divisible by `asked`. Fingerprints meet once each, and documents count by them, so
+    copies of one text cost nothing.
+    """
+    is_asked = F.coalesce(F.col(key) % asked == 0, F.lit(False))
+    held = described.groupBy(F.col("fingerprint").alias("found_fingerprint")).agg(F.count("*").alias("n"))
+    met = near_fingerprints(described.where(is_asked), described, radius)
+    total = met.join(held, "found_fingerprint").groupBy(F.col("query_fingerprint").alias("of")).agg((F.sum("n") - 1).alias("n_near"))
+    queries = described.where(is_asked)
+    return meet(queries, "fingerprint", total, "of", queries.count()).drop("of").unionByName(described.where(~is_asked).withColumn("n_near", F.lit(None).cast("long")))
+
+
+def near_fingerprints(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS, spare: int = 1) -> DataFrame:
+    """(query_fingerprint, found_fingerprint, distance): all different fingerprints within `radius` bits of each query's.
 
     The bits are cut into radius + spare blocks; at least `spare` blocks of a pair within the radius agree. Each
-    table is the fingerprints permuted so that one choice of `spare` blocks comes first, joined on that prefix.
-    Fingerprints meet once each, however many documents carry them; join back on the fingerprint for documents.
+    table is the fingerprints permuted so that one choice of `spare` blocks comes first, joined on that prefix. More
+    spare blocks make longer prefixes and more tables, for corpora whose prefixes grow too full.
     """
     blocks = radius + spare
     step = BITS / blocks
     cuts = [(round(i * step), round((i + 1) * step)) for i in range(blocks)]
     bits = lambda fp: F.concat(*(F.lpad(F.conv(F.substring(fp, 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(BITS // 32)))
     tables = list(itertools.combinations(range(blocks), spare))
-    prefix = lambda b: F.array(*(F.struct(F.lit(i).alias("table"), F.concat(*(F.substring(b, cuts[j][0] + 1, cuts[j][1] - cuts[j][0]) for j in t)).alias("prefix")) for i, t in enumerate(tables)))
-    keyed = lambda df, name: df.select(F.col("fingerprint").alias(name)).distinct().withColumn("bits", bits(F.col(name))).select(name, F.explode(prefix(F.col("bits"))).alias("p")).select(name, "p.*")
-    met = keyed(queries, "query_fingerprint").join(keyed(corpus, "found_fingerprint"), ["table", "prefix"])
+    part = lambda b, t: F.concat(*(F.substring(b, cuts[j][0] + 1, cuts[j][1] - cuts[j][0]) for j in t))
+    prefixes = lambda b: F.array(*(F.xxhash64(F.lit(i), part(b, t)) for i, t in enumerate(tables)))
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col("fingerprint").alias(name)).distinct().withColumn("bits", bits(F.col(name))).select(name, F.explode(prefixes(F.col("bits"))).alias("prefix"))
+
+    # a prefix is a hash of the table and its bits; what meets by chance is too far apart
+    met = keyed(queries, "query_fingerprint").join(keyed(corpus, "found_fingerprint"), "prefix")
     near = met.withColumn("distance", F.round((1 - likeness(F.col("query_fingerprint"), F.col("found_fingerprint"))) * BITS).cast("int"))
-    near = near.where(F.col("distance") <= radius).select("query_fingerprint", "found_fingerprint", "distance").distinct()
+    return near.where(F.col("distance") <= radius).select("query_fingerprint", "found_fingerprint", "distance").distinct()
+
+
+def search(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS, spare: int = 1, key: str = "doc_id") -> DataFrame:
+    """(query, query_fingerprint, found_fingerprint, distance) of each row of `queries`; join back on the fingerprint for documents."""
+    near = near_fingerprints(queries, corpus, radius, spare)
     return queries.select(F.col(key).alias("query"), F.col("fingerprint").alias("query_fingerprint")).join(near, "query_fingerprint").select("query", "query_fingerprint", "found_fingerprint", "distance")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return describe(table(spark, sf_dir, "documents"))
+    return with_neighbours(cut(describe(table(spark, sf_dir, "documents"))))

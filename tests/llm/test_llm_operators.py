@@ -234,7 +234,8 @@ def edited_model(text, other):
 
 
 def test_fingerprints_of_edits(spark, docs, rows):
-    got = fingerprints.describe(docs.where("doc_id <> 2001 OR doc_id IS NULL")).toPandas()
+    described = fingerprints.describe(docs.where("doc_id <> 2001 OR doc_id IS NULL")).cache()
+    got = described.toPandas()
     ordered = sorted(((i, t or "") for i, t, *_ in rows if i != 2_001), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     assert len(got) == len(ordered)
     by_text = {}
@@ -252,7 +253,28 @@ def test_fingerprints_of_edits(spark, docs, rows):
     near = got.set_index("doc_id")
     copies = near.loc[1_001, "fingerprint"]
     assert all((int(near.loc[1_100 + i, "fingerprint"], 16) ^ int(copies, 16)).bit_count() < 40 for i in range(4))
-    assert fingerprints.describe(docs.limit(0)).count() == 0
+    counted = fingerprints.with_neighbours(described, asked=2).toPandas()
+    assert len(counted) == len(got)
+    prints = [int(x, 16) for x in got["fingerprint"]]
+    for r in counted.itertuples():
+        asked = not pd.isna(r.doc_id) and r.doc_id % 2 == 0
+        want = sum((int(r.fingerprint, 16) ^ x).bit_count() <= 3 for x in prints) - 1 if asked else None
+        assert (r.n_near == want) if asked else pd.isna(r.n_near)
+    assert fingerprints.with_neighbours(fingerprints.describe(docs.limit(0))).count() == 0
+    one = fingerprints.describe(docs.where("doc_id = 5")).first()
+    assert one.near_next == 1.0
+
+
+def test_next_documents_over_many_partitions(spark):
+    """Each row's next one is that before it in the order of ids, whatever the partitions, also among rows of one id."""
+    rows = [(None if i % 7 == 0 else 13 if i % 3 == 0 else i, f"text {i} " * (1 + i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(11)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    placed = df.select(F.monotonically_increasing_id().alias("place"), F.col("doc_id").alias("key"), "text").cache()
+    at = {r.place: (r.key, r.text) for r in placed.collect()}
+    links = {r.place: r.next_place for r in fingerprints.successors(placed).collect()}
+    order = sorted(at, key=lambda p: (at[p][0] is not None, at[p][0] or 0, hashes[at[p][1]], p))
+    assert links == {p: order[k - 1] for k, p in enumerate(order)}
 
 
 def test_fingerprints_of_long_repetitive_texts(spark):
