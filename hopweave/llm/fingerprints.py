@@ -95,15 +95,16 @@ def successors(placed: DataFrame) -> DataFrame:
 
 
 def edited_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """((place, key, n_chars, text, edited), (place, next_place)): each text, and it with its last third replaced by the next one's beginning."""
+    """((place, key, next_key, n_chars, text, edited), (place, next_place)): each text, and it with its last third replaced by the next one's beginning."""
     placed = docs.select(F.monotonically_increasing_id().alias("place"), F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     links = cut(successors(placed))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     wanted = links.select(F.col("next_place").alias("place"), F.col("place").alias("to_place"), third.alias("m"))
-    sent = placed.join(wanted, "place").select(F.col("to_place").alias("place"), F.substring("text", F.lit(1), F.col("m")).alias("begin"), "m")
+    # both joins read the same columns of `placed`, so its texts are shuffled once and read twice
+    sent = placed.join(wanted, "place").select(F.col("to_place").alias("place"), F.substring("text", F.lit(1), F.col("m")).alias("begin"), "m", F.col("key").alias("next_key"))
     rows = placed.join(sent, "place")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("m")), "begin")
-    return rows.select("place", "key", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited")), links.select("place", "next_place")
+    return rows.select("place", "key", "next_key", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited")), links.select("place", "next_place")
 
 
 def fingerprint_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,9 +116,9 @@ def fingerprint_table(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def describe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
+    """doc_id, next_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     rows, links = edited_rows(docs, key, text)
-    row = ["place", "key", "n_chars", "edited_sha256"]
+    row = ["place", "key", "next_key", "n_chars", "edited_sha256"]
     made = rows.withColumn("edited_sha256", F.sha2("edited", 256))
     both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
     # a text without words gets a term of its own here, and the zero fingerprint below, so that its row isn't lost
@@ -130,7 +131,7 @@ def describe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     pairs = cut(pairs)
     after = links.join(pairs.select(F.col("place").alias("next_place"), F.col("fingerprint").alias("next_fingerprint")), "next_place")
     return pairs.join(after, "place").select(
-        F.col("key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        F.col("key").alias(key), F.col("next_key").alias("next_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
 
