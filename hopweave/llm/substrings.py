@@ -7,16 +7,15 @@ passage, the last ones too. The spans of all documents are hashed (128 bits over
 more than once all but the first occurrence, by document and place, are repeats. Sentences that a repeat covers are
 removed from the text; everything else stays byte for byte.
 
-A document is named by its id and a hash of its text, so rows of one id with other texts are other documents. Rows equal
-in both are one document for the joins; of these the first row in the input's order counts as first, and all spans of
-the others are repeats.
+A row is named by its place in the input, so rows of one id are rows of their own, equal ones too. First occurrences go
+by id (null ids last), then by a hash of the text, by the row's place and by the span's.
 
 Half hashes are counted first, combined on the map side, so that only spans whose half occurs twice are stored; those
-meet by their whole hash. All joins are adaptive, so a passage that a third of all documents share is no single task.
-Defined results: null texts stay null; a text of fewer than 16 words has no span and stays; first occurrences go by id
-(null ids last), by the text's hash and by place; extra columns stay in `dedup`'s result. Sentences end at Latin and CJK
-marks and at line ends; where a script has no spaces each of its characters counts as a word. The input is read
-three times and must be the same each time, as a table or a checkpoint is.
+meet by 96 bits. All joins are adaptive, so a passage that a third of all documents share is no single task.
+Defined results: null texts stay null; a text of fewer than 16 words has no span and stays; of rows equal in id and text
+one is the first, whichever of them; extra columns stay in `dedup`'s result. Sentences end at Latin and CJK marks and at
+line ends; where a script has no spaces each of its characters counts as a word. The input is read four times and must be
+the same each time, as a table or a checkpoint is.
 """
 
 from __future__ import annotations
@@ -84,35 +83,31 @@ def spans(text: str, least: int = SENTENCES, words: int = WORDS) -> list[tuple[i
 
 
 def span_table(rows: DataFrame, least: int, words: int) -> DataFrame:
-    """(a, b, key, h, i, j) of `rows` (key, h, text): the two halves of the hash, and the document and place of the span."""
+    """(a, b, place, i, j) of `rows` (place, text): 64 and 32 bits of the span's hash, and where it is."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [spans(t, least, words) for t in batch["text"]]
             of = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            halves = np.frombuffer(b"".join(d for f in found for _, _, d in f), np.int64).reshape(-1, 2)
+            digests = b"".join(d for f in found for _, _, d in f)
             at = np.fromiter((x for f in found for i, j, _ in f for x in (i, j)), np.int32).reshape(-1, 2)
-            column = lambda c: batch[c].to_numpy()[of]
-            yield pd.DataFrame({"a": halves[:, 0], "b": halves[:, 1], "none": column("none"), "key": column("key"), "h": column("h"), "i": at[:, 0], "j": at[:, 1]})
+            yield pd.DataFrame({"a": np.frombuffer(digests, np.int64)[::2], "b": np.frombuffer(digests, np.int32)[2::4], "place": batch["place"].to_numpy()[of], "i": at[:, 0], "j": at[:, 1]})
 
-    # a null id is a flag on the way, as pandas has no long with nulls
-    rows = rows.where("text IS NOT NULL").select(F.col("key").isNull().alias("none"), F.coalesce("key", F.lit(0).cast("long")).alias("key"), "h", "text")
-    made_ = rows.mapInPandas(made, "a long, b long, none boolean, key long, h long, i int, j int")
-    return made_.withColumn("key", F.when(~F.col("none"), F.col("key"))).drop("none")
+    return rows.where("text IS NOT NULL").select("place", "text").mapInPandas(made, "a long, b int, place long, i int, j int")
 
 
 def repeats(rows: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """(key, h, covered): for each document of `rows` (key, h, text) with repeats its covered runs of sentences, as an array of (i, j)."""
+    """(place, covered): for each of `rows` (place, key, text) with repeats its covered runs of sentences, as an array of (i, j)."""
     found = span_table(rows, least, words)
     # spans are made twice, which costs less than to store all of them
     twice = cut(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
+    order = rows.select("place", F.struct(F.col("key").isNull().alias("none"), "key", F.xxhash64("text").alias("h"), "place").alias("row"))
     # cut, so that both joins read two plain shuffles and a frequent span's partition can be split
-    found = cut(found.join(twice, "a", "left_semi"))
-    place = F.struct(F.col("key").isNull().alias("none"), "key", "h", "i")
-    first = cut(found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("a", "b", "first"))
-    again = found.join(first, ["a", "b"]).where("NOT (key <=> first.key AND h = first.h AND i = first.i)")
+    found = cut(found.join(twice, "a", "left_semi").join(order, "place"))
+    first = cut(found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("row", "i")).alias("first")).where("n > 1").select("a", "b", "first"))
+    again = found.join(first, ["a", "b"]).where("place <> first.row.place OR i <> first.i")
     # a document's own sentences bound its array
-    return again.groupBy("key", "h").agg(F.collect_set(F.struct("i", "j")).alias("covered"))
+    return again.groupBy("place").agg(F.collect_set(F.struct("i", "j")).alias("covered"))
 
 
 def without(text: str, covered: list) -> tuple[str, int, int]:
@@ -125,27 +120,16 @@ def without(text: str, covered: list) -> tuple[str, int, int]:
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """`docs` with cleaned texts, and n_sentences, n_removed (0 for null texts)."""
     small_batches(docs.sparkSession)
-    named = docs.withColumn("key_", F.col(key).cast("long")).withColumn("h_", F.xxhash64(text)).withColumn("place_", F.monotonically_increasing_id())
-    rows = named.select(F.col("key_").alias("key"), F.col("h_").alias("h"), F.col(text).alias("text"), F.col("place_").alias("place"))
-    covered = repeats(rows.drop("place"), least, words).withColumn("first", F.lit(None).cast("long"))
-    # rows that are equal in id and text: the one that comes first in the input stays as it is
-    equal = rows.groupBy("key", "h").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
-    equal = equal.select("key", "h", F.lit(None).cast("array<struct<i:int,j:int>>").alias("covered"), "first")
-    marks = covered.unionByName(equal).groupBy("key", "h").agg(F.max("covered").alias("covered_"), F.max("first").alias("first_"))
-    marks = marks.withColumnsRenamed({"key": "mark_key_", "h": "mark_h_"})
-    joined = named.join(marks, named.key_.eqNullSafe(marks.mark_key_) & (named.h_ == marks.mark_h_), "left").drop("key_", "h_", "mark_key_", "mark_h_")
+    placed = docs.withColumn("place_", F.monotonically_increasing_id())
+    covered = repeats(placed.select(F.col("place_").alias("place"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")), least, words)
+    joined = placed.join(covered.select(F.col("place").alias("place_"), F.col("covered").alias("covered_")), "place_", "left").drop("place_")
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
-    def clean(texts: pd.Series, runs: pd.Series, copies: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, r, copy in zip(texts, runs, copies, strict=True):
-            if copy and t is not None:
-                r = [{"i": i, "j": j} for i, j, _ in spans(t, least, words)]
-            out.append((None, 0, 0) if t is None else without(t, () if r is None else r))
-        return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
-
-    copy = F.coalesce(F.col("first_") != F.col("place_"), F.lit(False))
-    out = joined.withColumn("cleaned_", clean(text, "covered_", copy)).drop("covered_", "first_", "place_")
+    def clean(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        rows = [(None, 0, 0) if t is None else without(t, () if r is None else r) for t, r in zip(texts, runs, strict=True)]
+        return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
+
+    out = joined.withColumn("cleaned_", clean(text, "covered_")).drop("covered_")
     return out.withColumn(text, F.col("cleaned_.text")).withColumn("n_sentences", F.col("cleaned_.n_sentences")).withColumn("n_removed", F.col("cleaned_.n_removed")).drop("cleaned_")
 
 
