@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 
 from pyspark.sql import SparkSession, functions as F
@@ -17,6 +18,11 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("hopweave").config("spark.sql.adaptive.enabled", "true").getOrCreate()
 
 
+def logged(a: argparse.Namespace) -> logging.Logger:
+    """The run's logger: console and a file in --log, where that is given."""
+    return logs.experiment_log(a.log) if a.log else logging.getLogger("hopweave")
+
+
 def build(a: argparse.Namespace, spark: SparkSession) -> None:
     engine = Engine(spark)
     if a.extend:
@@ -28,6 +34,7 @@ def build(a: argparse.Namespace, spark: SparkSession) -> None:
     # an extended graph reads the old files, so it can't replace them in place
     target = f"{a.graph}_new" if a.extend else a.graph
     engine.save(target)
+    logged(a).info("saved to %s", target)
     print(f"saved to {target}")
     engine.graph.counts().show()
 
@@ -45,7 +52,9 @@ def evaluate(a: argparse.Namespace, spark: SparkSession) -> None:
     samples = samples.orderBy("sample_pos").limit(a.limit) if a.limit else samples
     filters = spark.read.parquet(f"{a.graph}_filter") if a.filtered else None
     documents.write_results(engine.evaluate(samples, filters), a.output)
-    evaluation.averages(spark.read.json(a.output)).show()
+    means = evaluation.averages(spark.read.json(a.output))
+    logged(a).info("means: %s", means.first().asDict())
+    means.show()
 
 
 def official(a: argparse.Namespace, spark: SparkSession) -> None:
@@ -92,6 +101,8 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("old")
     p.add_argument("--limit", type=int, default=2000)
     p.set_defaults(run=compare)
+    for p in subs.choices.values():
+        p.add_argument("--log", help="a folder for a log file of the run")
     a = top.parse_args(args)
     a.run(a, session())
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 from dataclasses import dataclass, fields, replace
 
 # Fixed values that results depend on.
@@ -76,3 +77,19 @@ class Config:
     def from_env(cls, **changes) -> Config:
         found = {f.name: type(f.default)(os.environ[n]) for f in fields(cls) if (n := f"HOPWEAVE_{f.name.upper()}") in os.environ}
         return replace(cls(), **(found | changes))
+
+
+def local_model(name: str, folders: Sequence[str] | None = None, key: str | None = None) -> str:
+    """Where a plug-in model's files are: the path that environment variable `key` names, else a folder for `name` below one of `folders`.
+
+    A name of the form owner/model may be a folder in a folder, the model's own, or one with the parts joined by one or
+    two underscores. Without such a folder the name itself is returned, for a plug-in that fetches models.
+    HOPWEAVE_MODEL_FOLDERS lists the folders, as paths do in PATH.
+    """
+    wanted = os.environ.get(key) if key else None
+    if wanted and os.path.exists(wanted):
+        return wanted
+    name = wanted or name
+    folders = os.environ.get("HOPWEAVE_MODEL_FOLDERS", "").split(os.pathsep) if folders is None else folders
+    forms = (name, name.rpartition("/")[2], name.replace("/", "_"), name.replace("/", "__"))
+    return next((path for folder in folders if folder for form in forms if os.path.exists(path := os.path.join(folder, form))), name)

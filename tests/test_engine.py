@@ -144,3 +144,15 @@ def test_no_local_folder_on_a_cluster():
     assert shared_folder(session("spark://a", "hdfs://x")) == "hdfs://x" and shared_folder(session("local[2]", None))
     with pytest.raises(ValueError, match="executors share"):
         shared_folder(session("yarn", None))
+
+
+def test_local_models(tmp_path, monkeypatch):
+    from hopweave.config import local_model
+
+    (tmp_path / "owner__model").mkdir()
+    monkeypatch.setenv("HOPWEAVE_MODEL_FOLDERS", f"/nowhere:{tmp_path}")
+    assert local_model("owner/model") == str(tmp_path / "owner__model") and local_model("owner/other") == "owner/other"
+    monkeypatch.setenv("EMBEDDER", str(tmp_path))
+    assert local_model("owner/model", key="EMBEDDER") == str(tmp_path)
+    monkeypatch.setenv("EMBEDDER", "x/owner__model")
+    assert local_model("y/z", key="EMBEDDER") == str(tmp_path / "owner__model")
