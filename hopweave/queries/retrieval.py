@@ -17,7 +17,7 @@ from hopweave.plans.search import search
 from hopweave.sources.lineage import cut
 
 from . import fixtures as fx
-from .fixtures import CAPITAL, CHUNKS, MENTIONS, RELATIONS, SIMILAR, TURNS, VECTORS
+from .fixtures import CAPITAL, MENTIONS, RELATIONS, SIMILAR, TURNS, VECTORS
 from .graphs import related
 
 #: Synthetic vectors are far apart, so edges are made and read at lower scores than by default.

@@ -17,8 +17,8 @@ from hopweave.plans.build import extracted
 from hopweave.sources.lineage import cut
 
 from . import fixtures as fx
-from .fixtures import CAPITAL, CHUNKS, MENTIONS, PAIRS, SCORES, SIMILAR, VECTORS, answer_tokens, strip
-from .retrieval import READ_AT, asked
+from .fixtures import CAPITAL, CHUNKS, MENTIONS, PAIRS, SIMILAR, VECTORS, answer_tokens, strip
+from .retrieval import asked
 from .texts import BOTH, SAME, STARTS
 
 BEAM = 4
