@@ -8,6 +8,12 @@ from hopweave.operators import edges, ids, knn, linking, mentions, pagerank, set
 from hopweave.operators.pagerank import LargeRanks, SmallRanks
 
 
+def test_range_of_bounds(spark):
+    for bounds in ([5], [1, 4, 4, 9], list(range(0, 300, 7)), [0.5, 2.5, 8.0]):
+        rows = spark.range(-3, 320).select("id", ids.range_of(F.col("id"), bounds).alias("n")).collect()
+        assert all(r.n == sum(b < r.id for b in bounds) for r in rows)
+
+
 def test_dense_index_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(ids, "RANGE_ROWS", 50)
     keys = [(i * 7919) % 10_007 for i in range(1_000)]
