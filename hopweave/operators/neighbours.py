@@ -24,10 +24,8 @@ class Neighbourhood:
 
     names: DataFrame  # chunk_id, name
     first: DataFrame  # name, chunk_id: as many as a cap and the visited ones can use up
-    relations: DataFrame
-    next: DataFrame  # src, dst both ways
-    related: DataFrame
-    bridge: DataFrame
+    relations: DataFrame  # source, target
+    steps: DataFrame  # src, dst both ways, label: likeness, order and bridges
     links: DataFrame | None  # entity, id
     config: Config
 
@@ -36,29 +34,26 @@ class Neighbourhood:
         """`entities`: (entity), those of all questions; `visits`: how many chunks a question may have visited."""
         cap = config.neighbour_cap + visits + 1
         strong = graph.related.where(F.col("score") > config.related_read_score)
+        labelled = [both_ways(edges.select("src", "dst")).withColumn("label", F.lit(label)) for label, edges in (("Sem", strong), ("Seq", graph.next), ("EntBridge", graph.bridge))]
+        steps = cut(labelled[0].union(labelled[1]).union(labelled[2]))
         links = cut(linked_chunks(entities, graph.mentions, config.query_entity_cap + visits)) if entities is not None else None
-        return cls(graph.mentions.select("chunk_id", "name"), cut(first_mentions(graph.mentions, cap)), graph.relations, both_ways(graph.next), both_ways(strong.select("src", "dst")), both_ways(graph.bridge.select("src", "dst")), links, config)
+        return cls(graph.mentions.select("chunk_id", "name"), cut(first_mentions(graph.mentions, cap)), graph.relations, steps, links, config)
 
 
 def expand(frontier: DataFrame, visited: DataFrame, near: Neighbourhood, entities: DataFrame | None = None) -> DataFrame:
     """(qid, id, label, precedence): the unvisited neighbours of each question's chunk.
 
     `frontier`: (qid, chunk_id), one for a question; `visited`: (qid, id), which holds the chunk itself; `entities`:
-    (qid, entity). Each way is capped by id: as a whole, and for query entities by entity.
+    (qid, entity). Each way is capped by id: as a whole, and for query entities by entity. All ways are capped in one pass.
     """
     config = near.config
-
-    def cap(df: DataFrame, n: int, *more: str) -> DataFrame:
-        unseen = df.join(visited.select("qid", "id"), ["qid", "id"], "left_anti")
-        return top(unseen.distinct(), ["qid", *more], [F.asc("id")], n).select("qid", "id")
-
-    step = lambda edges: frontier.join(edges, frontier.chunk_id == edges.src).select("qid", F.col("dst").alias("id"))
-    ways = {
-        "RelPath": cap(reached(frontier, near.names, near.first, near.relations).select("qid", "id"), config.neighbour_cap),
-        "EntMention": cap(reached(frontier, near.names, near.first).select("qid", "id"), config.neighbour_cap),
-        "Sem": cap(step(near.related), config.neighbour_cap), "Seq": cap(step(near.next), config.neighbour_cap), "EntBridge": cap(step(near.bridge), config.bridge_cap),
-    }
+    stepped = frontier.join(near.steps, frontier.chunk_id == near.steps.src).select("qid", F.col("dst").alias("id"), "label", F.lit("").alias("of"))
+    by_name = lambda label, *more: reached(frontier, near.names, near.first, *more).select("qid", "id", F.lit(label).alias("label"), F.lit("").alias("of"))
+    ways = stepped.union(by_name("RelPath", near.relations)).union(by_name("EntMention"))
     if entities is not None and near.links is not None:
         mine = entities.join(frontier.select("qid"), "qid", "left_semi").join(near.links.select("entity", "id"), "entity")
-        ways["QueryEnt"] = cap(mine.select("qid", "entity", "id"), config.query_entity_cap, "entity")
-    return by_precedence([(label, ways[label]) for label in PRECEDENCE if label in ways], ["qid", "id"])
+        ways = ways.union(mine.select("qid", "id", F.lit("QueryEnt").alias("label"), F.col("entity").alias("of")))
+    unseen = ways.distinct().join(visited.select("qid", "id"), ["qid", "id"], "left_anti")
+    caps = F.when(F.col("label") == "EntBridge", config.bridge_cap).when(F.col("label") == "QueryEnt", config.query_entity_cap).otherwise(config.neighbour_cap)
+    kept = top(unseen, ["qid", "label", "of"], [F.asc("id")], caps)
+    return by_precedence(kept, PRECEDENCE, ["qid", "id"])

@@ -13,13 +13,11 @@ def top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | Co
     return ranked.where(F.col(name) <= n)
 
 
-def by_precedence(parts: Sequence[tuple[str, DataFrame]], keys: Sequence[str]) -> DataFrame:
-    """(keys, label): the union of `parts`, each key under the label that comes first in `parts`."""
-    both = None
-    for i, (label, df) in enumerate(parts):
-        one = df.select(*keys, F.struct(F.lit(i).alias("i"), F.lit(label).alias("label")).alias("p"))
-        both = one if both is None else both.unionByName(one)
-    return both.groupBy(*keys).agg(F.min("p").alias("p")).select(*keys, F.col("p.label").alias("label"), F.col("p.i").alias("precedence"))
+def by_precedence(rows: DataFrame, labels: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys, label, precedence): of rows (keys, label) each key once, under the label that comes first in `labels`."""
+    spot = (F.array_position(F.array(*map(F.lit, labels)), F.col("label")) - 1).cast("int")
+    best = rows.groupBy(*keys).agg(F.min(F.struct(spot.alias("i"), "label")).alias("p"))
+    return best.select(*keys, "p.label", F.col("p.i").alias("precedence"))
 
 
 def min_max(df: DataFrame, key: str, value: str) -> DataFrame:
