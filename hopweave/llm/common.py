@@ -48,7 +48,7 @@ COPIES = 65_536
 
 
 def copies_of(rows: DataFrame, count: str, name: str) -> DataFrame:
-    """Each row `count` times, numbered from 1 on in column `name`; `count` is dropped.
+    """Each row `count` times, numbered from 1 on in column `name`; `count` is dropped. `rows` is read twice: cut it first.
 
     Runs of over COPIES copies are dealt over the tasks before they are made, so a row that is repeated billions of
     times is no single task's work.

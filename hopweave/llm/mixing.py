@@ -166,9 +166,10 @@ def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     plan = mix(docs, key, text, source, weights, most)
     total = F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies")))
     plan = plan.select(*name(F.col(key), F.col(source)), "text_hash", "other_hash", "size", "copies").groupBy(*names).agg(total.alias("total_")).where("total_ > 0")
+    # copies are made of the narrow plan; each document's row is met by all of its copies
+    copies = copies_of(cut(plan), "total_", "nth_").drop("nth_")
     rows = docs.select(*name(F.col(key).cast("long"), F.col(source).cast("string")), *text_hashes(text), F.struct("*").alias("doc_"))
-    rows = rows.groupBy(*names).agg(F.any_value("doc_").alias("doc_")).join(plan, names)
-    return copies_of(rows.select("doc_", "total_"), "total_", "nth_").select("doc_.*")
+    return rows.groupBy(*names).agg(F.any_value("doc_").alias("doc_")).join(copies, names).select("doc_.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

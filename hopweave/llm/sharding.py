@@ -99,7 +99,7 @@ def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
     """
     # equal rows are numbered, whichever of them is which
     rows = sizes(docs, key, text).groupBy("key", "h", "bytes", "text_hash").agg(F.count("*").alias("n"))
-    rows = placed(cut(copies_of(rows, "n", "nth")), limit)
+    rows = placed(copies_of(cut(rows), "n", "nth"), limit)
     return rows.select(F.col("key").alias(key), F.col("bytes").alias("n_bytes"), "shard", "depth", "shard_bytes", "shard_docs")
 
 
