@@ -260,7 +260,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     prints = cut(docs.select(*name, print_(text).alias("fp")))
     classes = cut(prints.groupBy("fp").agg(F.min(F.struct(*names)).alias("first")))
     first = cut(classes.join(components(classes.select("fp"), radius), "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.*"))
-    return docs.select(*every, *name).join(first, names, "left_semi").dropDuplicates(names).select(*every)
+    return docs.select(F.struct("*").alias("doc_"), *name).join(first, names, "left_semi").dropDuplicates(names).select("doc_.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -106,12 +106,13 @@ def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> None:
     """Write `docs` with a folder for each shard; a shard is one task's rows and so one file.
 
-    The rows are stored once with their places, so that each goes into its own shard and no other.
+    The rows are stored once with their places, so that each goes into its own shard and no other. A column `shard` of
+    the input gives way.
     """
-    rows = cut(docs.withColumn("place_", F.monotonically_increasing_id()))
-    named = numbered(sizes(rows, key, text, "place_"), ["key", "text_hash"], "place_", "nth")
+    rows = cut(docs.drop("shard").select(F.monotonically_increasing_id().alias("place_"), F.col(key).alias("key_"), F.col(text).alias("text_"), F.struct("*").alias("doc_")))
+    named = numbered(sizes(rows, "key_", "text_", "place_"), ["key", "text_hash"], "place_", "nth")
     plan = placed(cut(named), limit, "place_").select("place_", "shard")
-    rows.join(plan, "place_").drop("place_").repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+    rows.join(plan, "place_").select("doc_.*", "shard").repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ by id (null ids last), then by a hash of the text, by the row's place and by the
 Half hashes are counted first, combined on the map side, so that only spans whose half occurs twice are stored; those
 meet by 96 bits. All joins are adaptive, so a passage that a third of all documents share is no single task.
 Defined results: null texts stay null; a text of fewer than 16 words has no span and stays; of rows equal in id and text
-one is the first, whichever of them; extra columns stay in `dedup`'s result. Sentences end at Latin and CJK marks and at
+one is the first, whichever of them; extra columns stay in `dedup`'s result, but for those named
+as its own n_sentences and n_removed. Sentences end at Latin and CJK marks and at
 line ends; where a script has no spaces each of its characters counts as a word. The input is read four times and must be
 the same each time, as a table or a checkpoint is.
 """
@@ -120,17 +121,20 @@ def without(text: str, covered: list) -> tuple[str, int, int]:
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """`docs` with cleaned texts, and n_sentences, n_removed (0 for null texts)."""
     small_batches(docs.sparkSession)
-    placed = docs.withColumn("place_", F.monotonically_increasing_id())
-    covered = repeats(placed.select(F.col("place_").alias("place"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")), least, words)
-    joined = placed.join(covered.select(F.col("place").alias("place_"), F.col("covered").alias("covered_")), "place_", "left").drop("place_")
+    # rows travel as one struct, so columns of any name are safe
+    placed = docs.select(F.monotonically_increasing_id().alias("place"), F.struct("*").alias("doc"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    covered = repeats(placed.select("place", "key", "text"), least, words)
+    joined = placed.select("place", "doc").join(covered, "place", "left")
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
     def clean(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
         rows = [(None, 0, 0) if t is None else without(t, () if r is None else r) for t, r in zip(texts, runs, strict=True)]
         return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
 
-    out = joined.withColumn("cleaned_", clean(text, "covered_")).drop("covered_")
-    return out.withColumn(text, F.col("cleaned_.text")).withColumn("n_sentences", F.col("cleaned_.n_sentences")).withColumn("n_removed", F.col("cleaned_.n_removed")).drop("cleaned_")
+    found = ["n_sentences", "n_removed"]
+    out = joined.withColumn("cleaned", clean(F.col(f"doc.`{text}`"), "covered"))
+    kept = [F.col("cleaned.text").alias(c) if c == text else F.col(f"doc.`{c}`") for c in docs.columns if c not in found]
+    return out.select(*kept, *(F.col(f"cleaned.{c}") for c in found))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -786,6 +786,27 @@ def test_query_rows_of_one_id(spark):
     assert answers[0] == answers[1] and [a[:3] for a in answers[0]] == sorted(w[:3] for w in want)
 
 
+# ---- clashing names
+
+
+def test_columns_named_like_the_operators_own(spark, docs, tmp_path):
+    """Extra columns of any name stay as they are, and change no result."""
+    names = ["place", "doc", "covered", "cleaned", "n_removed", "key_", "h_", "none_", "g_", "doc_", "text_hash", "shard", "nth", "total_", "component", "class", "words", "row", "bin_id", "group_", "name", "good"]
+    wide = docs.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(f"own {n}").alias(n) for n in names))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    for run in (neardup.keep_one, pii.redact, mixing.take, lambda d: quality.keep_good(d, labels), substrings.dedup):
+        got = run(wide)
+        assert rows(got) == rows(run(wide.select("doc_id", "text", "lang", "source", "n_chars")))
+        for n in names:
+            assert n not in got.columns or n == "n_removed" or {r[0] for r in got.select(n).distinct().collect()} <= {f"own {n}"}
+        assert set(wide.columns) <= set(got.columns)
+    for run in (sharding.shards, packing.pack, neardup.group, pii.detect, mixing.mix, fingerprints.describe):
+        assert run(wide).count() >= 60
+    sharding.write_shards(wide, str(tmp_path / "x"), limit=4_000)
+    assert spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(str(tmp_path / "x")).where("doc_ = 'own doc_'").count() == wide.count()
+
+
 # ---- shared
 
 
