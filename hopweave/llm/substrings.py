@@ -8,14 +8,14 @@ more than once all but the first occurrence, by document and place, are repeats.
 removed from the text; everything else stays byte for byte.
 
 A row is named by its place in the input, so rows of one id are rows of their own, equal ones too. First occurrences go
-by id (null ids last), then by a hash of the text, by the row's place and by the span's.
+by id (null ids last), then by the row's place and by the span's.
 
 Half hashes are counted first, combined on the map side, so that only spans whose half occurs twice are stored; those
-meet by 96 bits. All joins are adaptive, so a passage that a third of all documents share is no single task.
+meet by 96 bits; they are stored as a compressed table. All joins are adaptive, so a passage that a third of all documents share is no single task.
 Defined results: null texts stay null; a text of fewer than 16 words has no span and stays; of rows equal in id and text
 one is the first, whichever of them; extra columns stay in `dedup`'s result, but for those named
 as its own n_sentences and n_removed. Sentences end at Latin and CJK marks and at
-line ends; where a script has no spaces each of its characters counts as a word. The input is read four times and must be
+line ends; where a script has no spaces each of its characters counts as a word. The input is read three times and must be
 the same each time, as a table or a checkpoint is.
 """
 
@@ -29,7 +29,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, small_batches, stored, table
 
 SENTENCES, WORDS = 2, 16
 #: A sentence ends after a mark and white space or at a line's end; CJK marks need no white space.
@@ -84,7 +84,7 @@ def spans(text: str, least: int = SENTENCES, words: int = WORDS) -> list[tuple[i
 
 
 def span_table(rows: DataFrame, least: int, words: int) -> DataFrame:
-    """(a, b, place, i, j) of `rows` (place, text): 64 and 32 bits of the span's hash, and where it is."""
+    """(a, b, key, place, i, j) of `rows` (place, key, text): 64 and 32 bits of the span's hash, and where it is."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -92,9 +92,12 @@ def span_table(rows: DataFrame, least: int, words: int) -> DataFrame:
             of = np.repeat(np.arange(len(found)), [len(f) for f in found])
             digests = b"".join(d for f in found for _, _, d in f)
             at = np.fromiter((x for f in found for i, j, _ in f for x in (i, j)), np.int32).reshape(-1, 2)
-            yield pd.DataFrame({"a": np.frombuffer(digests, np.int64)[::2], "b": np.frombuffer(digests, np.int32)[2::4], "place": batch["place"].to_numpy()[of], "i": at[:, 0], "j": at[:, 1]})
+            column = lambda c: batch[c].to_numpy()[of]
+            yield pd.DataFrame({"a": np.frombuffer(digests, np.int64)[::2], "b": np.frombuffer(digests, np.int32)[2::4], "key": column("key"), "place": column("place"), "i": at[:, 0], "j": at[:, 1]})
 
-    return rows.where("text IS NOT NULL").select("place", "text").mapInPandas(made, "a long, b int, place long, i int, j int")
+    # null ids come last
+    last = F.coalesce("key", F.lit((1 << 63) - 1))
+    return rows.where("text IS NOT NULL").select("place", last.alias("key"), "text").mapInPandas(made, "a long, b int, key long, place long, i int, j int")
 
 
 def repeats(rows: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
@@ -102,11 +105,11 @@ def repeats(rows: DataFrame, least: int = SENTENCES, words: int = WORDS) -> Data
     found = span_table(rows, least, words)
     # spans are made twice, which costs less than to store all of them
     twice = cut(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
-    order = rows.select("place", F.struct(F.col("key").isNull().alias("none"), "key", F.xxhash64("text").alias("h"), "place").alias("row"))
-    # cut, so that both joins read two plain shuffles and a frequent span's partition can be split
-    found = cut(found.join(twice, "a", "left_semi").join(order, "place"))
-    first = cut(found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("row", "i")).alias("first")).where("n > 1").select("a", "b", "first"))
-    again = found.join(first, ["a", "b"]).where("place <> first.row.place OR i <> first.i")
+    # stored, so that both joins read two plain shuffles and a frequent span's partition can be split
+    found = stored(found.join(twice, "a", "left_semi"))
+    first = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("key", "place", "i")).alias("first"))
+    first = cut(first.where("n > 1").select("a", "b", F.col("first.place").alias("first_place"), F.col("first.i").alias("first_i")))
+    again = found.drop("key").join(first, ["a", "b"]).where("place <> first_place OR i <> first_i")
     # a document's own sentences bound its array
     return again.groupBy("place").agg(F.collect_set(F.struct("i", "j")).alias("covered"))
 

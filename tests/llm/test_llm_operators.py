@@ -635,13 +635,6 @@ def test_neardup_links_of_close_fingerprints(spark, shard):
 # ---- 9 substrings
 
 
-HASHES = {}
-
-
-def substrings_hash(t):
-    return HASHES[t]
-
-
 def dedup_model(rows, least=2, words=16):
     """Texts after removal, by (id, text) in order of the input."""
     spans = {}
@@ -649,7 +642,7 @@ def dedup_model(rows, least=2, words=16):
         if t is None:
             continue
         cut = [t[a:b] for a, b in substrings.sentences(t)]
-        name = (i is None, i or 0, substrings_hash(t), row)
+        name = (i is None, i or 0, row)
         for a in range(len(cut)):
             b, n = a, 0
             while b < len(cut) and (b - a < least or n < words):
@@ -684,7 +677,6 @@ def test_substring_dedup(spark):
     # equal rows, rows of one id with other texts, of no id too
     rows += [(5, shared), (5, "Only here. " + sentence() + sentence()), (50, shared), (50, shared), (50, shared), (None, rows[1][1]), (None, rows[1][1]), (None, "A sentence of no id that stays as it is, because it occurs nowhere else in here, never. It has two.")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("i", F.lit(1)).withColumn("key", F.lit(2)).withColumn("h", F.lit(3))
-    HASHES.update({r.text: r.n for r in df.select("text", F.xxhash64("text").alias("n")).collect()})
     got = substrings.dedup(df)
     assert set(df.columns) < set(got.columns)
     found = sorted((r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "") for r in got.collect())
