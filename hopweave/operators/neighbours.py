@@ -11,8 +11,8 @@ from hopweave.sources.lineage import cut
 
 from .edges import both_ways
 from .linking import linked_chunks
-from .mentions import first_mentions, reached
-from .setops import by_precedence, top
+from .mentions import first_mentions
+from .setops import by_precedence, small, top
 
 #: A chunk that is reached in several ways has the label that comes first here.
 PRECEDENCE = ("RelPath", "EntMention", "Sem", "Seq", "EntBridge", "QueryEnt")
@@ -47,9 +47,13 @@ def expand(frontier: DataFrame, visited: DataFrame, near: Neighbourhood, entitie
     (qid, entity). Each way is capped by id: as a whole, and for query entities by entity. All ways are capped in one pass.
     """
     config = near.config
-    stepped = frontier.join(near.steps, frontier.chunk_id == near.steps.src).select("qid", F.col("dst").alias("id"), "label", F.lit("").alias("of"))
-    by_name = lambda label, *more: reached(frontier, near.names, near.first, *more).select("qid", "id", F.lit(label).alias("label"), F.lit("").alias("of"))
-    ways = stepped.union(by_name("RelPath", near.relations)).union(by_name("EntMention"))
+    front = small(cut(frontier.select("qid", "chunk_id")))
+    stepped = near.steps.join(front, near.steps.src == front.chunk_id).select("qid", F.col("dst").alias("id"), "label", F.lit("").alias("of"))
+    mine = cut(near.names.join(front, "chunk_id").select("qid", "chunk_id", "name"))
+    ends = near.relations.select(F.col("source").alias("name"), "target").join(small(mine), "name").select("qid", "chunk_id", F.col("target").alias("name"), F.lit("RelPath").alias("label"))
+    named = small(cut(mine.withColumn("label", F.lit("EntMention")).union(ends.distinct())))
+    by_name = near.first.withColumnRenamed("chunk_id", "id").join(named, "name").where("id <> chunk_id").select("qid", "id", "label", F.lit("").alias("of"))
+    ways = stepped.union(by_name)
     if entities is not None and near.links is not None:
         mine = entities.join(frontier.select("qid"), "qid", "left_semi").join(near.links.select("entity", "id"), "entity")
         ways = ways.union(mine.select("qid", "id", F.lit("QueryEnt").alias("label"), F.col("entity").alias("of")))

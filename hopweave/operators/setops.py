@@ -13,6 +13,15 @@ def top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | Co
     return ranked.where(F.col(name) <= n)
 
 
+#: Rows that are broadcast at most.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df`, a cut table, to be broadcast in a join if it has at most BROADCAST_ROWS rows; the other side then isn't shuffled."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def by_precedence(rows: DataFrame, labels: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """(keys, label, precedence): of rows (keys, label) each key once, under the label that comes first in `labels`."""
     spot = (F.array_position(F.array(*map(F.lit, labels)), F.col("label")) - 1).cast("int")
