@@ -87,6 +87,19 @@ def test_knn_exact(spark, monkeypatch, by_scan):
     assert knn.nearest(df, df.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("by_scan", [True, False])
+def test_knn_in_small_tiles(spark, monkeypatch, by_scan):
+    """Scores that single precision can't tell apart, many copies, and ids that are strings."""
+    x = np.random.default_rng(6).normal(size=(120, 6)).astype(np.float32)
+    x[40:70] = x[3]
+    x[70:100] = x[5] + np.random.default_rng(7).normal(scale=1e-5, size=(30, 6)).astype(np.float32)
+    df = spark.createDataFrame([(f"{i:03d}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<float>")
+    for name, n in (("TILE_Q", 7), ("TILE_X", 5), ("AGAIN", 11), ("SCAN_BYTES", 32_000_000 if by_scan else 0)):
+        monkeypatch.setattr(knn, name, n)
+    got = knn.nearest(df, df, 3, exclude_self=True).collect()
+    assert {(int(r.qid), int(r.id), r["rank"]) for r in got} == brute_knn(x.astype(np.float64), 3)
+
+
 def test_knn_in_cells_finds_most(spark, monkeypatch):
     monkeypatch.setattr(knn, "SCAN_BYTES", 0)
     random = np.random.default_rng(4)
