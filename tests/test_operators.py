@@ -100,6 +100,21 @@ def test_knn_in_small_tiles(spark, monkeypatch, by_scan):
     assert {(int(r.qid), int(r.id), r["rank"]) for r in got} == brute_knn(x.astype(np.float64), 3)
 
 
+@pytest.mark.parametrize("copies", [0, 4_000])
+def test_knn_tiles_are_bounded(copies):
+    """A batch of rows never meets all queries at once, also where most of the rows are equal."""
+    import tracemalloc
+
+    x = np.random.default_rng(8).normal(size=(8_000, 16))
+    x[:copies] = x[0]
+    best = knn.Best(np.arange(8_000), x, 3, True)
+    tracemalloc.start()
+    best.add(np.arange(8_000), x)
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000  # a table of all scores takes 512 MB
+    tracemalloc.stop()
+    assert len(best.rows()) == 24_000
+
+
 def test_knn_in_cells_finds_most(spark, monkeypatch):
     monkeypatch.setattr(knn, "SCAN_BYTES", 0)
     random = np.random.default_rng(4)
