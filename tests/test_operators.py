@@ -62,6 +62,18 @@ def test_frequent_names_stay_bounded(spark):
     assert {q: sorted(r.id for r in got if r.qid == q) for q in (1, 2)} == {1: ["c000", "c002", "c003"], 2: ["c000", "c001", "c002"]}
 
 
+def test_relations_to_many_names_stay_bounded(spark):
+    """A name with many relations, each to a frequent name, leads to as many chunks as a cap can use, and to the right ones."""
+    m = spark.range(300).select(F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("chunk_id"), F.explode(F.array(F.lit("hot"), F.concat(F.lit("n"), (F.col("id") % 60).cast("string")))).alias("name"))
+    r = spark.range(60).select(F.lit("hot").alias("source"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("target"))
+    r = r.union(spark.createDataFrame([("n7", "n9")], "source string, target string"))
+    led = mentions.leads(r, mentions.first_mentions(m, 4), 4)
+    assert sorted(tuple(x) for x in led.collect()) == sorted([("hot", f"c{i:03d}") for i in range(4)] + [("n7", f"c{i:03d}") for i in (9, 69, 129, 189)])
+    front = spark.createDataFrame([(1, "c001"), (2, "c007")], "qid int, chunk_id string")
+    got = mentions.co_mentions(front, m, 3, r).collect()
+    assert {q: sorted(x.id for x in got if x.qid == q) for q in (1, 2)} == {1: ["c000", "c002", "c003"], 2: ["c000", "c001", "c002"]}
+
+
 def brute_knn(x, k):
     u = x / np.linalg.norm(x, axis=1)[:, None]
     s = np.round(u @ u.T, 9)
