@@ -184,6 +184,39 @@ def test_page_rank_that_does_not_settle(spark):
     assert pagerank.ranks(nodes, e.limit(0), s).of(s.select("qid", "id")).count() == 0
 
 
+def test_rank_steps_of_all_questions_and_nodes(spark, monkeypatch):
+    """Against dense steps, in blocks of questions; a node without edges has a row only as a seed."""
+    monkeypatch.setattr(pagerank, "QUESTIONS", 2)
+    monkeypatch.setattr(pagerank, "TASK_ROWS", 50)
+    n, pairs = graph(1)
+    src, dst = np.array(pairs).T
+    linked, degree = set(src.tolist()), np.bincount(src, minlength=n)
+    starts = [1, 2, 5, 8, n - 1, n - 1]
+    wanted = {}
+    for q in starts:
+        x = np.full(n, 1 / n)
+        for _ in range(3):
+            x = 0.85 * np.bincount(dst, weights=(x / np.maximum(degree, 1))[src], minlength=n)
+            x[q] += 0.15
+        wanted |= {(q, i): x[i] * starts.count(q) for i in range(n) if i in linked or i == q}
+    long = lambda rows, *names: spark.createDataFrame(rows, ", ".join(f"{c} long" for c in names))
+    seeds = long([(q, q) for q in starts], "qid", "id").withColumn("weight", F.lit(1.0))
+    ranked = pagerank.rank_steps(long([(i,) for i in range(n)], "id"), long(pairs, "src", "dst"), seeds, 3)
+    rows = ranked.collect()
+    assert len(rows) == len(wanted) and {(r.qid, r.id): r.x for r in rows} == {k: pytest.approx(v, abs=1e-12) for k, v in wanted.items()}
+
+
+def test_results_of_all_nodes_are_not_shuffled(spark):
+    """After questions and nodes meet, nothing is dealt out again."""
+    even = spark.range(30).select("id", F.lit(0.5).alias("u"))
+    own = spark.createDataFrame([(1, 2, 0.75), (3, 2, 0.25)], "qid long, id long, x double")
+    rows = pagerank.everywhere(even, own, spark.range(1, 5).toDF("qid"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("NestedLoopJoin")]
+    got = {(r.qid, r.id): r.x for r in rows.collect()}
+    assert len(got) == 120 and {k: v for k, v in got.items() if v != 0.5} == {(1, 2): 0.75, (3, 2): 0.25}
+
+
 def test_co_mention_edges_in_order(spark):
     rows = [(f"c{i:03d}", name) for name, n in (("hot", 60), ("x", 3)) for i in range(n)]
     m = spark.createDataFrame(rows, "chunk_id string, name string")
