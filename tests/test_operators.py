@@ -217,6 +217,20 @@ def test_results_of_all_nodes_are_not_shuffled(spark):
     assert len(got) == 120 and {k: v for k, v in got.items() if v != 0.5} == {(1, 2): 0.75, (3, 2): 0.25}
 
 
+@pytest.mark.parametrize("small", [(1_000, 10_000), (0, 0)])
+def test_page_rank_everywhere(spark, small):
+    n, pairs = graph(2)
+    nodes = spark.createDataFrame([(str(i),) for i in range(n)], "id string")
+    e = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "src string, dst string")
+    s = spark.createDataFrame([(0, "1", 0.5), (0, "2", 0.5), (1, str(n - 1), 1.0), (3, "absent", 1.0)], "qid long, id string, weight double")
+    r = pagerank.ranks(nodes, e, s, max_iter=30, tol=1e-3, small=small)
+    asked = s.select("qid").distinct().join(nodes)
+    wanted = {(x.qid, x.id): x.ppr for x in r.of(asked).collect()}
+    got = r.everywhere(s.select("qid")).collect()
+    assert len(got) == len(wanted) == 2 * n
+    assert {(x.qid, x.id): x.ppr for x in got} == {k: pytest.approx(v, abs=1e-12) for k, v in wanted.items()}
+
+
 def test_co_mention_edges_in_order(spark):
     rows = [(f"c{i:03d}", name) for name, n in (("hot", 60), ("x", 3)) for i in range(n)]
     m = spark.createDataFrame(rows, "chunk_id string, name string")
