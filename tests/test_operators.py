@@ -246,6 +246,20 @@ def test_drill_and_hybrid(spark):
     assert [(r.id, r.summary) for r in got] == [("chunk_9", "summary_l1_u_0"), ("chunk_0", "summary_l2_t"), ("chunk_1", "summary_l2_t"), ("chunk_0", "summary_l1_t_0")]
 
 
+def test_large_tables_of_visited_pairs_are_not_shuffled(spark):
+    """Neither the visited pairs nor the pairs of a filter, which may be questions times rows, are dealt out by key."""
+    pairs = spark.range(50).toDF("qid").join(spark.range(200).toDF("id").hint("broadcast"), (F.col("qid") + F.col("id")) % 3 == 0).select("qid", "id")
+    found = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 4, 1), (2, 500, 2)], "qid long, id long, rank int")
+    left = vectors.unvisited(found, pairs)
+    assert {(r.qid, r.id) for r in left.collect()} == {(1, 1), (2, 500)}
+    cut_rows = found.localCheckpoint()
+    plan = setops.shared(pairs, cut_rows, ["qid", "id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    rows = setops.within_filter(found, pairs.withColumnRenamed("id", "chunk_id"))
+    assert {(r.qid, r.id) for r in rows.collect()} == {(1, 2), (2, 4)}
+    assert "HashAggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_min_max_and_top(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", 2.0)], "k string, v double")
     assert sorted(tuple(r) for r in setops.min_max(df, "k", "v").collect()) == [("a", 0.0), ("a", 1.0), ("b", 2.0), ("b", 2.0)]
