@@ -142,6 +142,18 @@ def test_linking_both_ways(spark):
     assert {(r.entity, r.id) for r in linking.linked_chunks(e, m, 5).collect()} == {("paris", "c1"), ("paris", "c2"), ("new york", "c3")}
 
 
+def test_linking_is_not_each_with_each(spark):
+    """All pairs of which one holds the other, long ones and repeats inside a name too; no nested loop unless strings are long."""
+    entities = ["an", "banana", "bananas", "x", "ana split", "aa", "é", "zé", "q" * 200, "y" * 3]
+    names = ["banana", "an", "nan", "aaaa", "x", "split", "zé", "é", "e", "p" * 150 + "x", "q" * 40, ""]
+    df = lambda c, rows: spark.createDataFrame([(r,) for r in rows], f"{c} string")
+    wanted = sorted((e, n) for e in entities for n in names if e in n or n in e)
+    assert sorted(tuple(r) for r in linking.linked_names(df("entity", [*entities, "", None]), df("name", names)).collect()) == wanted
+    found = linking.linked_names(df("entity", entities[:8]), df("name", names[:9]))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((e, n) for e in entities[:8] for n in names[:9] if e in n or n in e)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def graph(seed):
     random = np.random.default_rng(seed)
     n = 40
