@@ -300,3 +300,16 @@ def test_clusters_of_large_titles_follow_the_same_rule(spark, monkeypatch):
     large = found()
     assert large == small and len(large) == len(rows)
     assert max(large.values()) < 5 and len({c for (t, _), c in large.items() if t == "t0"}) > 1
+
+
+def test_rounds_of_large_titles_write_nothing(spark, monkeypatch):
+    """A round of a large title's clusters is one pass over the rows: the rows are checkpointed once, the rounds aren't."""
+    monkeypatch.setattr(summaries, "MOST_CHUNKS", 20)
+    x = np.random.default_rng(5).normal(size=(200, 4))
+    df = spark.createDataFrame([("t", f"c{i}", i, v.tolist()) for i, v in enumerate(x)], "title string, chunk_id string, pos long, embedding array<double>")
+    cuts = []
+    monkeypatch.setattr(summaries, "cut", lambda d, cut=summaries.cut: cuts.append(1) or cut(d))
+    got = {r.chunk_id: r.cluster for r in summaries.clusters(df).collect()}
+    assert len(cuts) == 2
+    labels = summaries.k_means(x, 5, summaries.start(200))
+    assert got == {f"c{i}": int(c) for i, c in enumerate(labels)}
