@@ -127,6 +127,14 @@ def test_knn_tiles_are_bounded(copies):
     assert len(best.rows()) == 24_000
 
 
+def test_knn_refuses_vectors_of_several_lengths():
+    import pyarrow as pa
+
+    with pytest.raises(ValueError, match="one length"):
+        knn.columns(pa.table({"id": [1, 2], "v": [[1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0, 5.0]]}))
+    assert knn.columns(pa.table({"id": [1, 2], "v": [[1.0, 2.0], [3.0, 4.0]]}))[1].tolist() == [[1.0, 2.0], [3.0, 4.0]]
+
+
 def test_knn_in_cells_finds_most(spark, monkeypatch):
     monkeypatch.setattr(knn, "SCAN_BYTES", 0)
     random = np.random.default_rng(4)
